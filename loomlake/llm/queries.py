@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, quality_rules, url_filter
+from . import bpe, pii, quality_classifier, quality_rules, url_filter
 from .common import read
 
 VOCAB = "byte_bpe_50k.tiktoken"
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark, sf_dir):
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.report(read(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.report(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_byte_bpe, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op8_url_filter)}
 ORACLES = {"op4_quality_rules": quality_rules.oracle(), "op8_url_filter": url_filter.oracle()}
