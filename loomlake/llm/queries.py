@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, bpe, pii, quality_classifier, quality_rules, url_filter
+from . import ann, bpe, ngram_join, pii, quality_classifier, quality_rules, url_filter
 from .common import read
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -30,9 +30,13 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.report(read(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark, sf_dir):
+    return ngram_join.link(read(spark, sf_dir, "documents"))
+
+
 def op10_nearest_neighbours(spark, sf_dir):
     return ann.report(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op8_url_filter, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op8_url_filter, op9_ngram_join, op10_nearest_neighbours)}
 ORACLES = {"op4_quality_rules": quality_rules.oracle(), "op8_url_filter": url_filter.oracle()}
