@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, bpe, ngram_join, pii, quality_classifier, quality_rules, url_filter
+from . import ann, bpe, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, url_filter
 from .common import read
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,14 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCAB), public_tokenizers.PATTERN)
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.report(read(spark, sf_dir, "pages"))
 
@@ -38,5 +46,5 @@ def op10_nearest_neighbours(spark, sf_dir):
     return ann.report(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op8_url_filter, op9_ngram_join, op10_nearest_neighbours)}
-ORACLES = {"op4_quality_rules": quality_rules.oracle(), "op8_url_filter": url_filter.oracle()}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_mixing, op8_url_filter, op9_ngram_join, op10_nearest_neighbours)}
+ORACLES = {"op4_quality_rules": quality_rules.oracle(), "op7_mixing": mixing.oracle(), "op8_url_filter": url_filter.oracle()}
