@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,13 @@ class Scratch:
 atexit.register(Scratch.clear_all)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more. It does so
+    only when the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def content_key(*cols: Column) -> list[Column]:
     """128 bits of content as two longs; null counts as empty."""
     full = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import ann, bpe, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, url_filter
+from . import ann, bpe, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 from .common import read
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality_classifier.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_nearest_neighbours(spark, sf_dir):
     return ann.report(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_mixing, op8_url_filter, op9_ngram_join, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_pii, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_mixing, op8_url_filter, op9_ngram_join, op10_nearest_neighbours)}
 ORACLES = {"op4_quality_rules": quality_rules.oracle(), "op7_mixing": mixing.oracle(), "op8_url_filter": url_filter.oracle()}
