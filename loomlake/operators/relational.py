@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +81,8 @@ def metadata_match(docs: DataFrame, tokens: list[str]) -> DataFrame:
     """Documents with a token of two characters or more in a name, path, tag or date."""
     wanted = F.array(*(F.lit(t.lower()) for t in tokens if len(t) >= 2)).cast("array<string>")
     fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("file_name", "relative_path", "tags", "document_date") if c in docs.columns]
-    hit = F.lit(False)
-    for f in fields:
-        hit = hit | F.exists(wanted, lambda t, f=f: F.contains(f, t))
-    return docs.where(hit)
+    any_of = lambda field: F.exists(wanted, lambda t: F.contains(field, t))
+    return docs.where(reduce(operator.or_, map(any_of, fields)))
 
 
 def topic_match(stem: Column, queries: Column) -> Column:
