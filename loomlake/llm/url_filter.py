@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 MAX_CHILDREN, RARE_SHARE, WEIGHT, MIN_PURITY, Z = 64, 0.01, 4.0, 0.3, 1.96
@@ -53,8 +55,9 @@ def generalised(segment: Column) -> Column:
     return out
 
 
-def _widened(t: DataFrame, max_children: int, rare_share: float) -> DataFrame:
-    """Rare segments under parents with too many children become ``*``, level by level."""
+def _widened(t: DataFrame, max_children: int, rare_share: float, scratch: Scratch) -> DataFrame:
+    """Rare segments under parents with too many children become ``*``, level by level. Each level
+    reads its predecessor three times, so each is written."""
     for level in range(1, LEVELS + 1):
         parent = F.array_join(F.slice("segs", 1, level - 1), "/")
         t = t.withColumns({"_u_parent": parent, "_u_seg": F.get("segs", F.lit(level - 1))})
@@ -62,6 +65,7 @@ def _widened(t: DataFrame, max_children: int, rare_share: float) -> DataFrame:
         wide = kids.groupBy("host", "_u_parent").agg(F.count("*").alias("kids"), F.sum("kn").alias("all_n")).where(F.col("kids") > max_children)
         rare = kids.join(wide, ["host", "_u_parent"]).where(F.col("kn") < rare_share * F.col("all_n")).select("host", "_u_parent", "_u_seg", F.lit(True).alias("_u_rare"))
         t = t.join(rare, ["host", "_u_parent", "_u_seg"], "left").withColumn("segs", F.expr(f"transform(segs, (x, i) -> CASE WHEN _u_rare AND i = {level - 1} THEN '*' ELSE x END)")).drop("_u_parent", "_u_seg", "_u_rare")
+        t = scratch.table(t, f"level{level}")
     return t
 
 
@@ -76,8 +80,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url: str = "ur
         .agg(F.count("*").alias("n"), F.count("_u_rule").alias("lab"), F.count_if(F.col("_u_rule.verdict") == "allow").alias("ok"))
         .withColumn("segs", F.split(F.regexp_replace("_u_raw", "^/", ""), "/"))
     )
-    leaves = _widened(leaves, max_children, rare_share).withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/"))).drop("segs")
-    branches = leaves.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("ok").alias("ok"))
+    scratch = Scratch(pages.sparkSession)
+    leaves = _widened(scratch.table(leaves, "leaves"), max_children, rare_share, scratch).withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/"))).drop("segs")
+    branches = scratch.table(leaves.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("ok").alias("ok")), "branches")
     hosts = branches.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("ok").alias("host_ok"))
     b = branches.join(hosts, "host")
     rest, rest_ok = F.col("host_lab") - F.col("lab"), F.col("host_ok") - F.col("ok")
