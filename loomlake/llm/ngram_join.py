@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_shuffles
 from .components import components
 from .hashing import mix, shingles, words_of
 
@@ -142,15 +142,23 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, n: int, percen
     return full.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
+def shared_postings(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, node, n, l, pop) of prefix shingles that more than one row has, for one row of
+    each node. Rows are kept narrow until the many shingles of a single row are gone."""
+    slim = found.where("node IS NOT NULL").select(F.explode("tokens").alias("token"), "doc_id")
+    often = slim.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    return slim.join(often, "token").join(nodes, "doc_id").select("token", "node", "n", "l", "pop").distinct()
+
+
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     scratch = scratch or Scratch(docs.sparkSession)
     found = scratch.table(prefixes(docs, sketch(docs, n), n, percent), "prefixes")
-    where = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("pop").alias("pop"), F.first("tokens").alias("tokens"))
-    nodes = scratch.table(where, "nodes")
-    posts = nodes.select(F.explode("tokens").alias("token"), "node", "n", "l", "pop")
+    nodes = scratch.table(found.where("node IS NOT NULL").groupBy("node").agg(*(F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "n", "l", "pop"))), "nodes")
+    posts = scratch.table(shared_postings(found, nodes), "postings")
+    free_shuffles(docs.sparkSession)
     centres = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("pop", "node", "n", "l")).alias("c")).where("size > 1")
-    shared = scratch.table(posts.drop("pop").join(centres.select("token", "c"), "token"), "postings")
+    shared = posts.drop("pop").join(centres.select("token", "c"), "token")
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
     stars = (
@@ -165,11 +173,13 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch |
         .distinct()
     )
     stars = scratch.table(stars, "stars")
+    free_shuffles(docs.sparkSession)
     nodes_where = nodes.select("node", "doc_id")
     edges = scratch.table(verified(stars, docs, nodes_where, n, percent), "links")
     labels = components(edges, scratch)
+    free_shuffles(docs.sparkSession)
 
-    labelled = shared.drop("c").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = posts.drop("pop").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     open_posts = scratch.table(labelled.join(split, "token"), "open")
     left = open_posts.select("token", F.col("node").alias("a"), "n", "l", F.col("label").alias("la"))
@@ -184,6 +194,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch |
         .join(stars, ["a", "b"], "left_anti")
     )
     rest = scratch.table(rest, "rest")
+    free_shuffles(docs.sparkSession)
     more = verified(rest, docs, nodes_where, n, percent)
     final = components(edges.unionByName(more), scratch)
     rows = found.select("doc_id", "n", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
