@@ -34,7 +34,7 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; documents that fail the rules or are depleted go."""
     _scratch(spark)
-    return _as_documents(quality_rules.judge(docs, with_text=True).where("kept"), docs)
+    return _as_documents(quality_rules.clean(docs), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

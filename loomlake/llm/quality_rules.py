@@ -71,16 +71,12 @@ def line_removals(docs: DataFrame, host: str, text: str, min_docs: int, doc_shar
     return lines.join(common, ["_q_host", "lh"]).groupBy("_q_host", "ck1", "ck2").agg(F.collect_set(F.struct("pos", "words")).alias("removed"))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, keep_share: float = KEEP_SHARE, with_text: bool = False) -> DataFrame:
-    """Every row of ``docs`` with the base counts, base_failed, n_removed_lines,
-    n_removed_words and kept. With ``with_text``, its text is what the removals leave;
-    otherwise the text is not carried along."""
+def _judged(docs: DataFrame, host: str, text: str, min_docs: int, doc_share: float, keep_share: float) -> DataFrame:
+    """Every row of ``docs`` without its text, with its counts, verdict and ``_q`` keys."""
     removals = line_removals(docs, host, text, min_docs, doc_share)
-    m = base_measures(text)
-    left = docs.withColumns({f"_q_{n}": c for n, c in zip(("ck1", "ck2"), content_key(F.col(text)))}).withColumns({"_q_host": F.coalesce(F.col(host).cast("string"), F.lit("\u0000"))} | m)
-    left = left if with_text else left.drop(text)
+    left = keyed(docs, host, text).withColumns(base_measures(text)).drop(text)
     removals = removals.select("_q_host", F.col("ck1").alias("_q_ck1"), F.col("ck2").alias("_q_ck2"), F.col("removed").alias("_q_removed"))
-    out = left.join(removals, ["_q_host", "_q_ck1", "_q_ck2"], "left").withColumns(
+    out = left.join(removals, KEYS, "left").withColumns(
         {
             "n_words": F.col("_q_words.n"),
             "n_repeat_words": F.col("_q_words.r"),
@@ -89,11 +85,31 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: i
         }
     )
     out = out.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.expr(f"n_removed_words > 0 AND n_words - n_removed_words < {keep_share}D * n_words"))
-    if with_text:
-        rest = let(f"split(coalesce({text}, ''), '\\n', -1)", "l", "array_join(transform(array_except(sequence(0, size(l) - 1), transform(_q_removed, x -> x.pos)), i -> get(l, i)), '\\n')")
-        out = out.withColumn(text, F.when(F.col("n_removed_lines") > 0, F.expr(rest)).otherwise(F.col(text)))
-    return out.drop("_q_host", "_q_ck1", "_q_ck2", "_q_removed", "_q_words")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.expr(f"n_removed_words > 0 AND n_words - n_removed_words < {keep_share}D * n_words"))
+
+
+KEYS = ["_q_host", "_q_ck1", "_q_ck2"]
+
+
+def keyed(docs: DataFrame, host: str, text: str) -> DataFrame:
+    return docs.withColumns(dict(zip(KEYS[1:], content_key(F.col(text)))) | {"_q_host": F.coalesce(F.col(host).cast("string"), F.lit("\u0000"))})
+
+
+def judge(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """Every row of ``docs`` without its text, with the base counts, base_failed, n_removed_lines,
+    n_removed_words and kept."""
+    return _judged(docs, host, text, min_docs, doc_share, keep_share).drop(*KEYS, "_q_removed", "_q_words")
+
+
+def clean(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """The kept rows of ``docs``, their texts without the removed lines. A verdict depends on host
+    and text alone, so it is reduced to one row for each before texts are joined to it; a plain
+    filter would be pushed down and count every text again."""
+    given = docs.select(host, text) if host != text else docs.select(text)
+    verdicts = _judged(given, host, text, min_docs, doc_share, keep_share).groupBy(*KEYS).agg(F.bool_or("kept").alias("_q_kept"), F.first("_q_removed").alias("_q_removed")).where("_q_kept")
+    rest = let(f"split(coalesce({text}, ''), '\\n', -1)", "l", "array_join(transform(array_except(sequence(0, size(l) - 1), transform(_q_removed, x -> x.pos)), i -> get(l, i)), '\\n')")
+    rows = keyed(docs, host, text).join(verdicts, KEYS)
+    return rows.withColumn(text, F.when(F.col("_q_removed").isNotNull(), F.expr(rest)).otherwise(F.col(text))).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -67,12 +67,18 @@ def test_rules_equal_plain_counts(edge, edge_rows):
 def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     line = "accept all cookies to read on"
     body = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, f"{line} \n{body} {'abcdef'[i]}", "h") for i in range(6)] + [(9, "\n".join([line.upper()] * 12), "h"), (10, f"{line}\n{body} other", "g")]
+    rows = [(i, f"{line} \n{body} {'abcdef'[i]}", "h") for i in range(6)] + [(9, "\n".join([line.upper()] * 12), "h"), (10, f"{line}\n{body} other", "g"), (10, f"{line}\n{body} other", "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = {r.doc_id: r for r in quality_rules.judge(docs, min_docs=3, with_text=True).collect()}
-    assert out[0].text == f"{body} a" and out[0].kept and out[0].n_removed_lines == 1
-    assert out[9].text == "" and not out[9].kept
-    assert out[10].text == f"{line}\n{body} other" and out[10].kept  # another host
+    out = {r.doc_id: r for r in quality_rules.judge(docs, min_docs=3).collect()}
+    assert out[0].kept and out[0].n_removed_lines == 1 and not out[9].kept and out[9].n_removed_lines == 12
+    left = sorted((r.doc_id, r.text) for r in quality_rules.clean(docs, min_docs=3).collect())
+    assert left == [(i, f"{body} {'abcdef'[i]}") for i in range(6)] + [(10, f"{line}\n{body} other")] * 2  # another host
+
+
+def test_cleaning_keeps_what_the_rules_keep(edge):
+    kept = sorted(str(r.doc_id) for r in quality_rules.judge(edge).where("kept").collect())
+    out = quality_rules.clean(edge)
+    assert out.columns == edge.columns and sorted(str(r.doc_id) for r in out.collect()) == kept
 
 
 def test_copies_count_once(spark):
