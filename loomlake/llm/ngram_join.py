@@ -184,11 +184,16 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch |
     open_posts = scratch.table(labelled.join(split, "token"), "open")
     left = open_posts.select("token", F.col("node").alias("a"), "n", "l", F.col("label").alias("la"))
     right = open_posts.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("label").alias("lb"))
+    # of two documents, one's prefix ends first in the order: all shingles they share are among the
+    # hits or behind that prefix, so the hits and the larger rest must reach the overlap they need
+    least = lambda size: f"(({percent} * {size} + 99) div 100)"
+    behind = f"greatest({least('n')} - l, {least('m')} - k)"
+    overlap = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     rest = (
         left.join(right, "token")
         .where(f"a < b AND la <> lb AND {close}")
         .groupBy("a", "b")
-        .agg(F.count("*").alias("hits"), F.first(F.least("l", "k")).alias("need"))
+        .agg(F.count("*").alias("hits"), F.first(F.expr(f"greatest(least(l, k), {overlap} - {behind})")).alias("need"))
         .where("hits >= need")
         .select("a", "b")
         .join(stars, ["a", "b"], "left_anti")
