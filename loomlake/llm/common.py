@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,9 +80,12 @@ atexit.register(Scratch.clear_all)
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more. It does so
-    only when the driver's garbage is collected, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    only when the driver's garbage is collected, which may be long after; the first round frees
+    what the second can collect."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def content_key(*cols: Column) -> list[Column]:

@@ -18,6 +18,7 @@ Rows that share a doc_id are one document: they never match each other. Every ro
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,28 +42,16 @@ def _gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def _leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
-    """For each window of ``span`` values, the place of its leftmost least one."""
-    at = np.arange(len(h))
-    values, width = h, 1
-    done = None  # (values, places, width) covering the windows so far
-    left = span
-    while left:
-        if left & 1:
-            if done is None:
-                done = (values, at, width)
-            else:
-                v, p, w = done
-                n = len(values) - w if len(values) - w < len(v) else len(v)
-                a, b, pa_, pb = v[:n], values[w : w + n], p[:n], at[w : w + n]
-                take = a <= b
-                done = (np.where(take, a, b), np.where(take, pa_, pb), w + width)
-        left >>= 1
-        if left:
-            a, b = values[:-width], values[width:]
-            take = a <= b
-            at = np.where(take, at[:-width], at[width:])
-            values, width = np.where(take, a, b), 2 * width
-    return done[1]
+    """For each window of ``span`` values, the place of its leftmost least one (by their upper 43 bits).
+    Places stand in the lower bits, so that a least value brings its place along."""
+    low = np.uint64((1 << 21) - 1)
+    v, width = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * width <= span:
+        v = np.minimum(v[:-width], v[width:])
+        width *= 2
+    if rest := span - width:
+        v = np.minimum(v[:-rest], v[rest:])
+    return (v & low).astype(np.int64)
 
 
 def contexts(raw: bytes):
@@ -129,26 +118,53 @@ def smallest_owner(pieces: list[bytes], owners: list[int]) -> list[list[int]]:
     return [of[s : s + n - LENGTH + 1].tolist() for s, n in zip(starts, sizes)]
 
 
+def alone(pieces: list[bytes], places: list[int]) -> list[bool]:
+    """Whether a context of one anchor can share no string with the others. A shared string holds the
+    anchor and 34 bytes more, so 17 of them at least follow it, or 17 precede it, in both."""
+    side = (LENGTH - GRAM + 1) // 2
+    after = [p[o : o + GRAM + side] if o + GRAM + side <= len(p) else None for p, o in zip(pieces, places)]
+    before = [p[o - side : o + GRAM] if o >= side else None for p, o in zip(pieces, places)]
+    n_after, n_before = Counter(after), Counter(before)
+    return [(x is None or n_after[x] == 1) and (y is None or n_before[y] == 1) for x, y in zip(after, before)]
+
+
 def _by_suffix_array(rows: DataFrame, tasks: int) -> DataFrame:
-    """(anchor, ctx, owners) of contexts (anchor, ctx, owner, bytes) whose anchors have few."""
+    """(anchor, ctx, owners) of contexts (anchor, ctx, owner, at, bytes) whose anchors have few."""
 
     def run(batches):
-        held, size, last = [], 0, None
+        done, held, size, group = [], [], 0, []
+
+        def close():
+            nonlocal size
+            apart = alone([g[4] for g in group], [g[3] for g in group])
+            for g, by_itself in zip(group, apart):
+                if by_itself:
+                    done.append((g[0], g[1], [g[2]] * (len(g[4]) - LENGTH + 1)))
+                else:
+                    held.append(g)
+                    size += len(g[4]) + 1
+            group.clear()
 
         def flush():
-            found = smallest_owner([h[3] for h in held], [h[2] for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["anchor", "ctx", "owners"])
+            nonlocal size
+            if held:
+                done.extend((h[0], h[1], o) for h, o in zip(held, smallest_owner([h[4] for h in held], [h[2] for h in held])))
+            out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.int64()))], names=["anchor", "ctx", "owners"])
+            done.clear()
+            held.clear()
+            size = 0
+            return out
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "ctx", "owner", "bytes"))):
-                if size >= BLOCK_BYTES and r[0] != last:  # an anchor's contexts stay together
-                    yield flush()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[3]) + 1
-                last = r[0]
-        if held:
-            yield flush()
+            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "ctx", "owner", "at", "bytes"))):
+                if group and r[0] != group[0][0]:  # an anchor's contexts stay together
+                    close()
+                    if size >= BLOCK_BYTES or len(done) >= 4096:
+                        yield flush()
+                group.append(r)
+        if group:
+            close()
+        yield flush()
 
     ordered = rows.repartition(tasks, "anchor").sortWithinPartitions("anchor")
     return ordered.mapInArrow(run, "anchor long, ctx long, owners array<long>")
@@ -172,8 +188,8 @@ def _by_string(rows: DataFrame) -> DataFrame:
 
 
 def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds ``bytes`` to contexts given as (anchor, ctx, owner, tk, s, n)."""
-    lists = wanted.groupBy("owner", "tk").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n")).alias("spans"))
+    """Adds ``bytes`` to contexts given as (anchor, ctx, owner, tk, s, n, at)."""
+    lists = wanted.groupBy("owner", "tk").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "at")).alias("spans"))
     full = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("owner"), F.xxhash64("text").alias("tk"), "text").join(lists, ["owner", "tk"])
 
     def run(batches):
@@ -183,32 +199,43 @@ def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for o, t, spans in zip(*(b.column(c).slice(i, 64).to_pylist() for c in ("owner", "text", "spans"))):
                     raw = t.encode("utf-8", "surrogatepass")
                     for x in spans:
-                        out[x["anchor"], x["ctx"], o] = raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in out], pa.int64()) for j in range(3)), pa.array(list(out.values()), pa.binary())], names=["anchor", "ctx", "owner", "bytes"])
+                        out[x["anchor"], x["ctx"], o, x["at"]] = raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))), pa.array(list(out.values()), pa.binary())], names=["anchor", "ctx", "owner", "at", "bytes"])
 
-    return full.select("owner", "text", "spans").mapInArrow(run, "anchor long, ctx long, owner long, bytes binary")
+    return full.select("owner", "text", "spans").mapInArrow(run, "anchor long, ctx long, owner long, at int, bytes binary")
 
 
 def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, tk, runs): byte ranges that smaller documents hold too, per document."""
+    """(doc_id, tk, runs): byte ranges that smaller documents hold too, per document. The two passes
+    over all anchors are jobs of their own, so that their shuffles are never there together."""
     spark = docs.sparkSession
     occ = _occurrences(docs)
-    met = occ.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("lo < hi")
-    shared = scratch.table(occ.join(met.select("anchor", F.when(F.col("c0") == F.col("c1"), F.col("lo").cast("long")).alias("only")), "anchor"), "shared")
+    met = scratch.table(occ.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     free_shuffles(spark)
-    several = shared.where("only IS NULL").groupBy("anchor", "ctx").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "tk", "s")).alias("f"), F.first("shape").alias("shape"))
-    several = scratch.table(several.select("anchor", "ctx", F.col("f.doc_id").alias("owner"), F.col("f.tk").alias("tk"), F.col("f.s").alias("s"), F.expr("shape div 64").alias("n")), "several")
-    many = several.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > MOST_CONTEXTS).select("anchor")
+    shared = scratch.table(occ.join(met, "anchor"), "shared")
+    scratch.drop(met)
+    free_shuffles(spark)
+    kinds = shared.groupBy("anchor", "ctx").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "tk", "s")).alias("f"), F.first("shape").alias("shape"))
+    kinds = scratch.table(kinds.select("anchor", "ctx", F.col("f.doc_id").alias("owner"), F.col("f.tk").alias("tk"), F.col("f.s").alias("s"), F.expr("shape div 64").alias("n"), F.expr("int(shape % 64)").alias("at")), "kinds")
+    size = scratch.table(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "sizes")
+    several = kinds.join(size.where("m > 1").select("anchor"), "anchor")
     full = scratch.table(_context_bytes(several, docs), "contexts")
     free_shuffles(spark)
+    many = size.where(F.col("m") > MOST_CONTEXTS).select("anchor")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     few = _by_suffix_array(full.join(many, "anchor", "left_anti"), tasks)
-    owners = few.unionByName(_by_string(full.join(many, "anchor", "left_semi")))
-    one = shared.where("only < doc_id").select("doc_id", "tk", F.col("s").alias("a"), (F.col("s") + F.expr("shape div 64") + LENGTH - 1).alias("e"))
+    none = F.lit(None)
+    owners = few.unionByName(_by_string(full.drop("at").join(many, "anchor", "left_semi"))).withColumn("only", none.cast("long"))
+    single = kinds.join(size.where("m = 1").select("anchor"), "anchor").select("anchor", "ctx", none.cast("array<long>").alias("owners"), F.col("owner").alias("only"))
+    owners = scratch.table(owners.unionByName(single), "owners")
+    for used in (kinds, size, full):
+        scratch.drop(used)
+    free_shuffles(spark)
+    found = shared.join(owners, ["anchor", "ctx"])
+    one = found.where("only < doc_id").select("doc_id", "tk", F.col("s").alias("a"), (F.col("s") + F.expr("shape div 64") + LENGTH - 1).alias("e"))
     hit = (
-        shared.where("only IS NULL").drop("only").join(owners, ["anchor", "ctx"])
+        found.where("only IS NULL AND array_min(owners) < doc_id")
         .select("doc_id", "tk", "s", F.expr("filter(transform(owners, (o, i) -> CASE WHEN o < doc_id THEN i END), i -> i IS NOT NULL)").alias("at"))
-        .where("size(at) > 0")
         # neighbours of one context: a new run where the place does not follow on
         .select("doc_id", "tk", "s", "at", F.expr("filter(at, (x, i) -> i = 0 OR get(at, i - 1) <> x - 1)").alias("begin"), F.expr("filter(at, (x, i) -> get(at, i + 1) IS NULL OR get(at, i + 1) <> x + 1)").alias("last"))
         .select("doc_id", "tk", "s", F.explode(F.arrays_zip("begin", "last")).alias("r"))
