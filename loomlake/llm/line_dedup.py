@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by fingerprints of line pairs.
 
-The lines of a document with a word in them are hashed. Anchors are the window minima of
-the hashes of neighbouring pairs of lines (each window of ``WINDOW`` pairs has one, so a
-repeated run of ``WINDOW + 1`` lines always shares one), and every line of ``LONG`` words
-or more. Per anchor hash the first place in the corpus, by (doc_id, line), is found; every
-later place is compared with it and the match is extended both ways. Lines of matches of
-two lines or more, or of a long line, are deleted from the later place; the first stays.
+The lines of a document with a word in them are hashed. Fingerprints are all pairs of
+neighbouring lines, and every line of ``LONG`` words or more. Per fingerprint the first
+place in the corpus, by (doc_id, line), stays; at every later place its lines are deleted.
+So each line of a repeated run of two lines or more goes from all but the first place of
+its pair, whatever else begins alike, and with it every repeated run of whole lines that
+reaches ``LONG`` words. A shorter line that repeats without a neighbour stays.
 
 Rows with a null doc_id or null text pass unchanged. Rows that repeat a doc_id and its text
 are one document; different texts under one doc_id are ordered by their hash. Lines without
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-WINDOW, LONG = 2, 50
+LONG = 50
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -36,91 +36,51 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64)
 
 
-def anchors(lines: list[str], h: np.ndarray, window: int = WINDOW, long: int = LONG) -> list[tuple[int, int]]:
-    """(hash, place among the solid lines) of the selected fingerprints."""
-    out = []
-    if len(h) > 1:
-        pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        w = min(window, len(pairs))
-        views = np.lib.stride_tricks.sliding_window_view(pairs, w)
-        picks = np.unique(np.arange(len(views)) + (w - 1 - views[:, ::-1].argmin(1)))  # the rightmost of equals
-        out += [(int(pairs[i]), int(i)) for i in picks]
-    out += [(int(h[i]), i) for i, x in enumerate(lines) if len(x) > 2 * long - 2 and len(x.split()) >= long]
-    return out
+def anchors(lines: list[str], h: np.ndarray, long: int = LONG) -> list[tuple[int, int]]:
+    """(hash, place among the solid lines) of all pairs in order, then of the long lines."""
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = [(int(x), i) for i, x in enumerate(pairs)]
+    return out + [(int(h[i]), i) for i, x in enumerate(lines) if len(x) > 2 * long - 2 and len(x.split()) >= long]
 
 
 def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
-def _fingerprints(docs: DataFrame, window: int, long: int) -> DataFrame:
-    """(doc_id, tk, hashes, fps): line hashes and anchors of each distinct (doc_id, text)."""
+def _fingerprints(docs: DataFrame, long: int) -> DataFrame:
+    """(doc_id, tk, fps): fingerprints of each row. A pair's hash and that of its first line
+    fix the hash of its second, so that (fp, h) tells pairs apart as their two lines do."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for i in range(0, len(b), 512):
                 part = b.slice(i, 512)
-                hashes, fps = [], []
+                fps = []
                 for t in part.column("text").to_pylist():
                     _, lines = solid_lines(t)
                     h = line_hashes(lines)
-                    hashes.append(h.tobytes())
-                    fps.append([{"fp": _signed(a), "pos": p} for a, p in anchors(lines, h, window, long)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(hashes, pa.binary()), pa.array(fps, pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())])))], names=["doc_id", "tk", "hashes", "fps"])
+                    fps.append([{"fp": _signed(a), "h": _signed(h[p]), "pos": p, "n": 2 if k < len(h) - 1 else 1} for k, (a, p) in enumerate(anchors(lines, h, long))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(fps, pa.list_(pa.struct([("fp", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])))], names=["doc_id", "tk", "fps"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, tk long, hashes binary, fps array<struct<fp:long,pos:int>>")
-
-
-def extended(mine: np.ndarray, first: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(from, to) of maximal matches through the given (place, first place) pairs."""
-    out, reach = [], {}
-    for p, q in sorted(places):
-        if reach.get(p - q, -1) >= p:
-            continue
-        a, b = p, q
-        while a and b and mine[a - 1] == first[b - 1]:
-            a, b = a - 1, b - 1
-        e, f = p, q
-        while e < len(mine) and f < len(first) and mine[e] == first[f]:
-            e, f = e + 1, f + 1
-        reach[p - q] = e - 1
-        out.append((a, e))
-    return out
-
-
-def removed_places(docs: DataFrame, scratch: Scratch, window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """(doc_id, tk, gone): places among the solid lines that later repeats cover."""
-    table = scratch.table(_fingerprints(docs, window, long), "lines").dropDuplicates(["doc_id", "tk"])
-    at = table.select("doc_id", "tk", F.explode("fps").alias("x")).select(F.col("x.fp").alias("fp"), "doc_id", "tk", F.col("x.pos").alias("pos"))
-    firsts = at.groupBy("fp").agg(F.min(F.struct("doc_id", "tk", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("fp", "f")
-    pairs = (
-        at.join(firsts, "fp")
-        .where(F.struct("doc_id", "tk", "pos") != F.col("f"))
-        .groupBy("doc_id", "tk", F.col("f.doc_id").alias("d0"), F.col("f.tk").alias("t0"))
-        .agg(F.collect_list(F.struct("pos", F.col("f.pos").alias("q"))).alias("places"))
-    )
-    h = table.select("doc_id", "tk", "hashes")
-    full = pairs.join(h, ["doc_id", "tk"]).join(h.select(F.col("doc_id").alias("d0"), F.col("tk").alias("t0"), F.col("hashes").alias("h0")), ["d0", "t0"])
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, tk long, fps array<struct<fp:long,h:long,pos:int,n:int>>")
 
-    def run(batches):
-        for b in batches:
-            gone = []
-            for places, mine, first in zip(*(b.column(i).to_pylist() for i in (4, 5, 6))):
-                runs = extended(np.frombuffer(mine, np.uint64), np.frombuffer(first, np.uint64), [(x["pos"], x["q"]) for x in places])
-                gone.append(sorted({i for a, e in runs for i in range(a, e)}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "tk", "gone"])
 
-    runs = full.select("doc_id", "tk", "d0", "t0", "places", "hashes", "h0").mapInArrow(run, f"doc_id {kind}, tk long, gone array<int>")
-    return runs.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+def removed_places(docs: DataFrame, scratch: Scratch, long: int = LONG) -> DataFrame:
+    """(doc_id, tk, gone): places among the solid lines that later repeats cover. Rows that
+    repeat a document have its places too, which are the first ones where its own are."""
+    table = scratch.table(_fingerprints(docs, long), "lines")
+    at = table.select("doc_id", "tk", F.explode("fps").alias("x")).select("x.fp", "x.h", "doc_id", "tk", "x.pos", "x.n")
+    firsts = at.groupBy("fp", "h").agg(F.min(F.struct("doc_id", "tk", "pos")).alias("f"), F.count("*").alias("m")).where("m > 1").select("fp", "h", "f")
+    later = at.join(firsts, ["fp", "h"]).where(F.struct("doc_id", "tk", "pos") != F.col("f"))
+    return later.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos, pos + n - 1)")))).alias("gone"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, long: int = LONG, scratch: Scratch | None = None) -> DataFrame:
+def dedup(docs: DataFrame, long: int = LONG, scratch: Scratch | None = None) -> DataFrame:
     """Every row of ``docs`` with its text after the removals, n_lines (solid lines before)
     and n_removed_lines."""
-    gone = removed_places(docs, scratch or Scratch(docs.sparkSession), window, long)
+    gone = removed_places(docs, scratch or Scratch(docs.sparkSession), long)
     gone = gone.select(F.col("doc_id").alias("_l_id"), F.col("tk").alias("_l_tk"), F.col("gone").alias("_l_gone"))
     keyed = docs.withColumn("_l_key", F.xxhash64("text"))
     rows = keyed.join(gone, (F.col("doc_id") == F.col("_l_id")) & (F.col("_l_key") == F.col("_l_tk")) & F.col("text").isNotNull(), "left").drop("_l_id", "_l_tk", "_l_key")

@@ -128,6 +128,42 @@ def test_every_repeated_run_of_three_lines_goes(spark):
     assert all(r.n_removed_lines == 3 for r in out if r.doc_id)
 
 
+def runs_of(text, n):
+    lines = line_dedup.solid_lines(text)[1]
+    return [tuple(lines[k : k + n]) for k in range(len(lines) - n + 1)]
+
+
+def plain_runs(rows, n=2, long=50):
+    """Lines left when every run of ``n`` lines, and every long line, keeps its first place only."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = line_dedup.solid_lines(t)[1]
+        gone = set()
+        for k in range(len(lines)):
+            for size in (n, 1):
+                run = tuple(lines[k : k + size])
+                if len(run) == size and (size > 1 or len(run[0].split()) >= long):
+                    if run in seen:
+                        gone |= set(range(k, k + size))
+                    seen.add(run)
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_a_common_opening_does_not_hide_longer_repeats(spark):
+    rows = [(1, "a\nb\nx"), (2, "a\nb\nc"), (3, "a\nb\nc")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a\nb\nx", 2: "c", 3: ""}  # b, c is new in 2 and no longer in 3
+
+
+def test_line_dedup_equals_all_repeated_runs(spark):
+    rng = random.Random(21)
+    pool = [f"line {i}" for i in range(9)] + [" ".join(f"v{i}w{j}" for j in range(55)) for i in range(2)]
+    rows = [(i, "\n".join(["head", "licence"] + rng.choices(pool, k=rng.randint(1, 7)) + [f"own {i}"])) for i in range(80)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: line_dedup.solid_lines(r.text)[1] for r in out} == plain_runs(rows)
+
+
 # --- n-gram join ---
 
 
