@@ -164,6 +164,19 @@ def test_line_dedup_equals_all_repeated_runs(spark):
     assert {r.doc_id: line_dedup.solid_lines(r.text)[1] for r in out} == plain_runs(rows)
 
 
+def test_repeated_passages_of_fifty_words_go_however_they_are_broken(spark):
+    rng = random.Random(17)
+    rows, i = [], 0
+    for sizes in [(30, 30), (49, 1), (25, 25), (20, 20, 20), (60,), (5, 50), (10,) * 6]:
+        passage = [" ".join(f"w{rng.random()}" for _ in range(n)) for n in sizes]
+        for _ in range(8):  # own lines around it, so that hashes nearby differ from document to document
+            rows.append((i, "\n".join([f"own {rng.random()}", *passage, f"own {rng.random()}"]), len(sizes)))
+            i += 1
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed_lines for r in line_dedup.dedup(docs).collect()}
+    assert got == {i: 0 if i % 8 == 0 else n for i, _, n in rows}
+
+
 # --- n-gram join ---
 
 
