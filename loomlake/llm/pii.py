@@ -5,9 +5,10 @@ sentences with labelled spans, adds spans of forms that the patterns miss (numbe
 without a plus sign, cards with dots, addresses in other alphabets, IPv6, secrets).
 Each kind holds a digit or ``@``, so the model reads the surroundings of those
 characters wherever they stand in the text: regions of overlapping windows, each
-decoded by Viterbi. Spans cut by a window's edge are left to the neighbouring
-window, and of all windows' spans of a text the non-overlapping set with the
-largest total score is kept. Spans touching a base span are dropped.
+decoded by Viterbi. Spans cut by a window's edge are joined with those of the
+neighbouring windows, over as many windows as they reach; what stays cut is dropped.
+Of all spans of a text the non-overlapping set with the largest total score is kept.
+Spans touching a base span are dropped.
 
 Null text counts as empty and has no spans. Positions are code points, end exclusive.
 Repeated rows each get their own row.
@@ -344,8 +345,8 @@ def windows_of(text: str):
             s += STRIDE
 
 
-def _spans(path, gain, length):
-    """Spans of one decoded window with their summed gain."""
+def _spans(path, length):
+    """Spans of one decoded window."""
     t = 0
     while t < length:
         if path[t]:
@@ -353,11 +354,29 @@ def _spans(path, gain, length):
             t += 1
             while t < length and path[t] == 2 + 2 * k:
                 t += 1
-            yield KINDS[k], s, t, float(gain[s:t].sum())
+            yield KINDS[k], s, t
         else:
             t += 1
 
 
+def stitched(pieces):
+    """(kind, start, end, score) of the whole spans among a text's pieces, (window, kind, start,
+    end, cut at the left, cut at the right, gains), and of cut ones joined. Neighbouring windows'
+    pieces of one kind join if both hold the middle of their overlap; each counts on its side of it."""
+    out, chains = [], {}
+    for w, kind, s, e, left, right, gain in sorted(pieces, key=lambda p: p[:3]):
+        middle = w + (WINDOW - STRIDE) // 2
+        mine = [] if left else [(s, 0.0, s)]  # start, score before the place from which this piece counts, that place
+        if s <= middle < e:
+            joined_up = [(s0, score + float(gain0[at - p : middle - p].sum()), middle) for s0, score, at, p, right0, gain0 in chains.get((w - STRIDE, kind), ()) if p <= middle < p + len(gain0) and (right0 or left)]
+            mine += sorted(joined_up, key=lambda c: (-c[1], c[0]))[:1]  # of those that join here the best, whatever follows
+        for s0, score, at in mine:
+            if not right:
+                out.append((kind, s0, e, score + float(gain[at - s :].sum())))
+            chains.setdefault((w, kind), []).append((s0, score, at, s, right, gain))
+    return out
+
+
 def plausible(kind: str, found: str) -> bool:
     """What a span of the model must hold: a trigger character, and for numbers the digits of their kind."""
     digits = "".join(c for c in found if c in "0123456789")
@@ -389,7 +408,7 @@ def best_together(found):
 def find_all(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
-    found: list[list] = [[] for _ in texts]
+    pieces: list[list] = [[] for _ in texts]
     held = []
 
     def flush():
@@ -401,9 +420,8 @@ def find_all(texts: list[str], model: Model) -> list[tuple[list, list]]:
                 x[: e - s, n] = encode(texts[d][s:e])
             path, gain = model.decode(x)
             for n, (d, s, e, left, right) in enumerate(part):
-                for kind, a, b, score in _spans(path[:, n], gain[:, n], e - s):
-                    if score >= MIN_SCORE and not (left and a == 0) and not (right and b == e - s) and plausible(kind, texts[d][s + a : s + b]):
-                        found[d].append((kind, s + a, s + b, round(score, 3)))
+                for kind, a, b in _spans(path[:, n], e - s):
+                    pieces[d].append((s, kind, s + a, s + b, left and a == 0, right and b == e - s, gain[a:b, n].copy()))
         held.clear()
 
     for d, t in enumerate(texts):
@@ -415,7 +433,8 @@ def find_all(texts: list[str], model: Model) -> list[tuple[list, list]]:
                 flush()
     flush()
     out = []
-    for b, f in zip(base, found):
+    for t, b, p in zip(texts, base, pieces):
+        f = [(kind, s, e, round(score, 3)) for kind, s, e, score in stitched(p) if score >= MIN_SCORE and plausible(kind, t[s:e])]
         taken = sorted((s, e) for _, s, e in b)
         starts = [s for s, _ in taken]
         reach = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []

@@ -170,6 +170,28 @@ def test_base_spans_stay_and_windows_cover_long_texts(model):
     assert all(i in covered for i, c in enumerate(text) if c in "0123456789@")
 
 
+@pytest.mark.parametrize("length", [100, 200, 1000])
+def test_secrets_longer_than_a_window_come_whole(model, length):
+    rng, whole = np.random.default_rng(length), 0
+    for i in range(20):
+        key = "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, length))
+        before = "words that go on " * (i % 5) + "x" * i + " "
+        whole += ("secret", len(before), len(before) + length) in pii.find_all([f"{before}{key} and more of them " * (1 + i % 2)], model)[0][1]
+    assert whole >= 12  # the model itself misses some
+
+
+def test_cut_spans_are_joined_over_windows():
+    text, at = 600, range(70, 430)
+    pieces = []
+    for w in range(0, text - pii.WINDOW + 1, pii.STRIDE):
+        s, e = max(w, at.start), min(w + pii.WINDOW, at.stop)
+        if s < e:
+            pieces.append((w, "secret", s, e, s == w and s > 0, e == w + pii.WINDOW, np.ones(e - s, np.float32)))
+    assert set(pii.stitched(pieces)) == {("secret", 70, 430, 360.0)}
+    assert pii.stitched([p for p in pieces if p[0] != 192]) == []  # one window sees nothing: cut on both sides
+    assert pii.stitched([(0, "ip", 90, 99, False, False, np.ones(9)), (64, "ip", 90, 99, False, False, np.ones(9))]) == [("ip", 90, 99, 9.0)] * 2
+
+
 def test_best_together_is_optimal():
     found = [("ip", 0, 5, 3.0), ("card", 4, 9, 5.0), ("ip", 8, 12, 3.0), ("phone", 12, 14, 1.0)]
     assert [f[1] for f in pii.best_together(found)] == [0, 8, 12]
