@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from loomlake.llm.common import Scratch, read
+from loomlake.llm.common import Scratch, content_key, read
 
 VOCAB = "byte_bpe_50k.tiktoken"
 _held: list[Scratch] = []
@@ -44,11 +44,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay."""
-    groups = ngram_join.link(docs, scratch=_scratch(spark))
-    later = groups.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """The document with the smallest id of each group stays; rows without an id stay. Rows equal
+    in id and text are one document; different texts under one id are decided apart, and in one
+    group the one with the smallest hash of its text goes before the others."""
+    key = ["doc_id", "ck1", "ck2", "void"]
+    c1, c2 = content_key(F.col("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", c1, c2, F.col("text").isNull().alias("void"))
+    groups = ngram_join.link(keyed, scratch=_scratch(spark), carry=tuple(key[1:]))
+    later = groups.where("doc_id IS NOT NULL AND NOT leads").select(*key).distinct()
+    kept = keyed.where("doc_id IS NOT NULL").join(later, key, "left_anti").dropDuplicates(key)
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

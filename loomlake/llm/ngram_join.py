@@ -92,8 +92,8 @@ def prefix(h: np.ndarray, table: np.ndarray, background: np.ndarray, percent: in
     return h[order[:size]], at, int(excess[:size].sum())
 
 
-def prefixes(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, l, pop, tokens) of every row."""
+def prefixes(docs: DataFrame, table: np.ndarray, n: int, percent: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node, n, l, pop, tokens) of every row, and the columns in ``carry``."""
     sent = docs.sparkSession.sparkContext.broadcast((table, np.median(table, 1).astype(np.int64)))  # a fixed size
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
@@ -111,9 +111,11 @@ def prefixes(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFr
                     else:
                         rows.append((None, len(h), 0, 0, []))
                 c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64()))], names=["doc_id", "node", "n", "l", "pop", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), *(part.column(x) for x in carry)], names=["doc_id", "node", "n", "l", "pop", "tokens", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, n long, l int, pop long, tokens array<long>")
+    kept = docs.select("doc_id", "text", *carry)
+    also = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema[2:])
+    return kept.mapInArrow(run, f"doc_id {kind}, node binary, n long, l int, pop long, tokens array<long>{also}")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, n: int, percent: int) -> DataFrame:
@@ -150,10 +152,11 @@ def shared_postings(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return slim.join(often, "token").join(nodes, "doc_id").select("token", "node", "n", "l", "pop").distinct()
 
 
-def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row. With columns in ``carry`` these too, and
+    ``leads``: whether (doc_id, *carry) is the smallest of the row's component; true if it has none."""
     scratch = scratch or Scratch(docs.sparkSession)
-    found = scratch.table(prefixes(docs, sketch(docs, n), n, percent), "prefixes")
+    found = scratch.table(prefixes(docs, sketch(docs, n), n, percent, carry), "prefixes")
     nodes = scratch.table(found.where("node IS NOT NULL").groupBy("node").agg(*(F.min_by(c, "doc_id").alias(c) for c in ("doc_id", "n", "l", "pop"))), "nodes")
     posts = scratch.table(shared_postings(found, nodes), "postings")
     free_shuffles(docs.sparkSession)
@@ -202,6 +205,8 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch |
     free_shuffles(docs.sparkSession)
     more = verified(rest, docs, nodes_where, n, percent)
     final = components(edges.unionByName(more), scratch)
-    rows = found.select("doc_id", "n", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return rows.join(names, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    rows = found.select("doc_id", "n", "node", *carry).join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = F.struct("doc_id", *carry)
+    names = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"), *([F.min(own).alias("leader")] if carry else []))
+    leads = [*carry, F.coalesce(own == F.col("leader"), F.lit(True)).alias("leads")] if carry else []
+    return rows.join(names, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), *leads)

@@ -77,6 +77,20 @@ def test_stages_equal_brute_force(spark, rows):
     assert {r["doc_id"]: bytes(r["ids_le"]) for r in kept} == want and len(kept) == len(given)
 
 
+def test_texts_under_one_id_are_decided_apart(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.random()}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, d), (3, c), (4, d), (5, e), (5, e + " tail"), (6, None), (6, ""), (6, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.near_duplicates(spark, docs, "unused")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    one_of_five = [(5, x) for x in (e, e + " tail") if got[5, x]]
+    assert len(one_of_five) == 1
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), (6, None), (6, ""), (None, a), (None, a), *one_of_five])
+
+
 def test_run_over_the_smallest_table(spark, small):
     out = corpus_pipeline.run(spark, small)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
