@@ -7,7 +7,7 @@ by moving nodes towards the parts of their neighbours; a small network with one
 hidden layer learns the part of a vector. Every vector is indexed in its most probable
 part, every query searches its most probable ones (as many as the sample needs for
 ``TARGET`` recall), and found vectors are ranked by their exact cosine in double
-precision. Large parts are dealt out in blocks that together cover the part.
+precision, ties by id. Large parts are dealt out in blocks that together cover the part.
 
 Vectors null, zero, with null or non-finite components, or of another length than
 most take no part; nor do null ids. Rows repeating an id with the same vector count once.
@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, GRAPH_K, PART_ROWS, MAX_PARTS, HIDDEN, TARGET, BLOCK = 8192, 10, 1500, 256, 96, 0.985, 8192
+#: Candidates within ROUNDING of the last one taken, more than a matrix product errs, are ranked
+#: exactly; cosines that agree to PLACES, as those of multiples of one vector, tie.
+ROUNDING, PLACES = 1e-9, 12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -204,21 +207,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             y = np.vstack(wanted["v"].to_numpy())
             norm_x, norm_y = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
             ids, asked_ids = found["ids"].to_numpy(), wanted["vec_id"].to_numpy()
-            take = min(len(x), k + 4)
+            take = min(len(x), k + 1)  # the asked vector itself may be one of them
             for s in range(0, len(y), 256):
                 sim = (y[s : s + 256] / norm_y[s : s + 256, None]) @ (x / norm_x[:, None]).T
-                near = np.argpartition(-sim, take - 1, 1)[:, :take]
-                for i, row in enumerate(near):
-                    q = s + i
+                least = np.partition(sim, len(x) - take, 1)[:, len(x) - take] - ROUNDING
+                for i, low in enumerate(least):
+                    q, row = s + i, np.flatnonzero(sim[i] >= low)
                     exact = (x[row] * y[q]).sum(1) / (norm_x[row] * norm_y[q])
-                    pairs = sorted((-c, int(j)) for c, r in zip(exact, row) for j in ids[r] if j != asked_ids[q])[:k]
+                    pairs = sorted((-t, int(j), c) for t, c, r in zip(exact.round(PLACES), exact, row) for j in ids[r] if j != asked_ids[q])[:k]
                     out_q += [asked_ids[q]] * len(pairs)
-                    out_v += [j for _, j in pairs]
-                    out_s += [-c for c, _ in pairs]
+                    out_v += [j for _, j, _ in pairs]
+                    out_s += [c for _, _, c in pairs]
         return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_v, np.int64), "score": np.array(out_s, np.float64)})
 
     found = left.select("part", "b", "q", "ids", "v").groupBy("part", "b", "q").cogroup(right.select("part", "b", "q", "vec_id", "v").groupBy("part", "b", "q")).applyInPandas(rerank, result)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

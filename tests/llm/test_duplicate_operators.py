@@ -262,6 +262,16 @@ def test_neighbours_on_edges(spark):
     assert got == plain_nearest(rows)
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=8)
+    order = rng.permutation(np.arange(1, 41))
+    rows = [(0, v.tolist())] + [(int(i), (v * (j + 1)).tolist()) for j, i in enumerate(order)]  # multiples of one vector
+    rows += [(100 + i, rng.normal(size=8).tolist()) for i in range(30)]
+    got = ann.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(n, n) for n in range(1, 6)]
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.report(spark.createDataFrame([], schema)).collect() == []
