@@ -43,10 +43,6 @@ def anchors(lines: list[str], h: np.ndarray, long: int = LONG) -> list[tuple[int
     return out + [(int(h[i]), i) for i, x in enumerate(lines) if len(x) > 2 * long - 2 and len(x.split()) >= long]
 
 
-def _signed(x) -> int:
-    return int(np.uint64(x).astype(np.int64))
-
-
 def _fingerprints(docs: DataFrame, long: int) -> DataFrame:
     """(doc_id, tk, fps): fingerprints of each row. A pair's hash and that of its first line
     fix the hash of its second, so that (fp, h) tells pairs apart as their two lines do."""
@@ -56,12 +52,20 @@ def _fingerprints(docs: DataFrame, long: int) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), 512):
                 part = b.slice(i, 512)
-                fps = []
+                fps, hs, at, n, ends = [], [], [], [], [0]
                 for t in part.column("text").to_pylist():
                     _, lines = solid_lines(t)
                     h = line_hashes(lines)
-                    fps.append([{"fp": _signed(a), "h": _signed(h[p]), "pos": p, "n": 2 if k < len(h) - 1 else 1} for k, (a, p) in enumerate(anchors(lines, h, long))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(fps, pa.list_(pa.struct([("fp", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])))], names=["doc_id", "tk", "fps"])
+                    found = anchors(lines, h, long)
+                    pos = np.array([p for _, p in found], np.int32)
+                    fps.append(np.array([a for a, _ in found], np.uint64))
+                    hs.append(h[pos])
+                    at.append(pos)
+                    n.append(np.where(np.arange(len(pos)) < len(h) - 1, 2, 1).astype(np.int32))
+                    ends.append(ends[-1] + len(pos))
+                flat = [pa.array(np.concatenate(c).view(kind)) for c, kind in ((fps, np.int64), (hs, np.int64), (at, np.int32), (n, np.int32))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=["fp", "h", "pos", "n"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), lists], names=["doc_id", "tk", "fps"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tk"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, tk long, fps array<struct<fp:long,h:long,pos:int,n:int>>")
