@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: While a table is written: its shuffles go afterwards, batches sent to Python stay small, and
+#: small shuffles become few files.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+SALTS = 8
 _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, or one of our own where none is set (tests)."""
+    """The folder all executors share. Where none is set, one of our own if there is no other
+    machine (tests); a cluster's executors could not read each other's, so that is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="loomlake-")
@@ -34,7 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 class Scratch:
     """Written tables that cut lineage. They survive lost executors, and go when
-    ``clear`` is called or the driver ends."""
+    ``clear`` is called or the driver ends. Once a table is written, Spark deletes the shuffle
+    files it was made of."""
 
     _open: list["Scratch"] = []
 
@@ -44,8 +50,15 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
         self.paths.append(path)
+        before = {k: self.spark.conf.get(k, v) for k, v in WRITING.items()}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
+        try:
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -78,16 +91,6 @@ class Scratch:
 atexit.register(Scratch.clear_all)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more. It does so
-    only when the driver's garbage is collected, which may be long after; the first round frees
-    what the second can collect."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def content_key(*cols: Column) -> list[Column]:
     """128 bits of content as two longs; null counts as empty."""
     full = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
@@ -97,3 +100,22 @@ def content_key(*cols: Column) -> list[Column]:
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few``, which has one row for each of ``keys``. Rows of one key are dealt to
+    ``SALTS`` tasks by the hash of ``spread``; ``few`` is repeated for each."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the column of that name in ``wanted``: what a
+    join need not shuffle. Keys are looked up in a bitmap of their hashes, which has a fixed
+    size (512 rows of 4 KiB) and lets more through the more keys there are."""
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << 24))
+    bits = wanted.select(spot.alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    found = rows.withColumn("_spot", spot).join(F.broadcast(bits), F.bitmap_bucket_number("_spot") == F.col("_bucket"))
+    place = "bitmap_bit_position(_spot)"
+    return found.where(f"shiftright(int(conv(hex(substr(_bits, int({place} div 8) + 1, 1)), 16, 10)), int({place} % 8)) % 2 = 1").drop("_spot", "_bucket", "_bits")

@@ -237,6 +237,40 @@ def test_join_threshold_is_exact(spark):
     check_join(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+@pytest.mark.parametrize("settings", [{}, {"SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 20}, {"BLOCK_TOKENS": 400, "BLOCK_DOCS": 7}, {"JUMPS": 0, "SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 2, "MEMORY": 3}])
+def test_join_on_a_large_group_of_near_copies(spark, monkeypatch, settings):
+    """Copies of one text around the threshold, by hot shingles, in many blocks, in many clusters."""
+    for k, v in settings.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rng = random.Random(8)
+    base, other = [f"w{i}" for i in range(80)], [f"v{rng.randint(0, 30)}" for _ in range(70)]
+    rows = []
+    for n in range(150):
+        text = list(base if n % 5 else other)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = f"e{rng.randint(0, 300)}"
+        rows.append((n * 3 % 150, " ".join(text[: rng.choice((60, 66, 70, 80))])) if n % 9 else (n * 3 % 150, " ".join(rows[-1][1].split()) if rows else "one two"))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    check_join(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
+
+
+def test_linked_connects_what_links_connect():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        core = rng.choice(1 << 40, 40, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate([core[rng.random(40) < 0.9], rng.choice(1 << 40, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(30)]
+        nids = rng.permutation(1000)[:30]
+        up = list(range(30))
+        for i in range(30):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * len(np.union1d(sets[i], sets[j])):
+                    up = [up[i] if u == up[j] else u for u in up]
+        want = {int(nids[i]): min(int(nids[j]) for j in range(30) if up[j] == up[i]) for i in range(30)}
+        got = {int(i): int(i) for i in nids} | dict(ngram_join.linked(nids, sets, rng.permutation(30), 75))
+        assert got == want
+
+
 # --- nearest neighbours ---
 
 
