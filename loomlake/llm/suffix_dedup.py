@@ -3,34 +3,39 @@
 Every 50-byte string of a text is assigned to an anchor inside it: the leftmost 16-gram with
 the least hash. Equal strings have equal anchors at equal places, so they meet under the
 anchor's hash. A run of neighbouring strings with one anchor is a context: the bytes they
-cover. Anchors that only one document has are dropped. Contexts equal as a whole count once,
-with the smallest doc_id that has them. Where an anchor has several different contexts,
-they are laid out as a text with separators, groups of anchors to a block of bounded size; its
-suffix array (``suffix_array``: linear grouping by Lyndon prefixes) brings equal 50-byte
-strings together, and each gets the smallest doc_id among its contexts. An anchor with more
-contexts than a block may hold is dealt out by the strings themselves, so that equal ones
+cover. Contexts are dropped unless another document has the anchor with the same gram right
+after or right before it, one of which every string holds. Contexts equal as a whole count once,
+with the smallest doc_id that has them. Where others of an anchor are alike, contexts are cut to
+the strings that what they have in common around the anchor allows; equal cuts count once, and
+are laid out as a text with separators, groups of anchors to a block of bounded size. Its suffix
+array (``suffix_array``: linear grouping by Lyndon prefixes) brings equal 50-byte strings
+together, and each gets the smallest doc_id among its contexts. An anchor with more than
+``MOST_CONTEXTS`` such contexts is dealt out by the strings themselves, so that equal ones
 still meet. Each document then drops the bytes of strings that a smaller doc_id has.
 
 Null text counts as empty. Rows with a null doc_id keep their bytes and count for nobody.
-Rows that share a doc_id are one document: they never match each other. Every row is returned.
+Rows that share a doc_id are one document: they never match each other, and repeated rows get
+the same result each. Texts of any length are read whole, in overlapping pieces. An empty table
+gives an empty result. Columns other than doc_id and text are not read. Every row is returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, narrowed
 from .hashing import BASE, mix
 from .suffix_array import suffix_array
 
-LENGTH, GRAM, BLOCK_BYTES, MOST_CONTEXTS, PIECE = 50, 16, 1 << 15, 400, 1 << 20
+LENGTH, GRAM, BLOCK_BYTES, MOST_CONTEXTS, PIECE = 50, 16, 1 << 15, 8192, 1 << 20
+SAMPLE, HOT_SHARE, HOT_LEAST, MOST_HOT = 32, 0.005, 128, 4096
 
 
 def _gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -54,8 +59,15 @@ def _leftmost_least(h: np.ndarray, span: int) -> np.ndarray:
     return (v & low).astype(np.int64)
 
 
+@lru_cache(maxsize=32)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+
+
 def contexts(raw: bytes):
-    """Arrays (anchor, context hash, first string's start, strings, anchor's place in the first string)."""
+    """Arrays (anchor, context hash, first string's start, strings, anchor's place in the first string,
+    sides). Sides are 10 bits each of the hashes of the grams right after and before the anchor."""
     out = []
     step = PIECE
     for base in range(0, max(1, len(raw) - LENGTH + 1), step):
@@ -68,32 +80,59 @@ def contexts(raw: bytes):
         cut = np.flatnonzero(np.diff(at, prepend=-1))
         count = np.diff(cut, append=len(at))
         # a polynomial over the gram hashes of the context, freed of its place
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), BASE, np.uint64)]))
-        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+        up, down = _powers(1 << len(h).bit_length())
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
         whole = (sums[cut + count + span - 1] - sums[cut]) * down[cut]
-        out.append((h[at[cut]].view(np.int64), mix(whole + count.astype(np.uint64)).view(np.int64), cut + base, count, at[cut] - cut))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        where, side = at[cut], (h & np.uint64(1023)).astype(np.int64)
+        after = np.where(where + GRAM < len(h), side[np.minimum(where + GRAM, len(h) - 1)], 0)
+        before = np.where(where >= GRAM, side[np.maximum(where - GRAM, 0)], 0)
+        out.append((h[where].view(np.int64), mix(whole + count.astype(np.uint64)).view(np.int64), cut + base, count, where - cut, (after << 10) + before))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, anchor, ctx, place) of every context; ``place`` packs the first string's start, the
+    sides, the number of strings and the anchor's place in the first."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
-                ids, rows = part.column("doc_id"), [contexts((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-                n = [len(r[0]) for r in rows]
-                take = pa.array(np.repeat(np.arange(len(rows)), n))
-                cols = [np.concatenate(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), part.column("tk").take(take), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int64)), pa.array((cols[3] * 64 + cols[4]).astype(np.int32))],
-                    names=["doc_id", "tk", "anchor", "ctx", "s", "shape"],
-                )
+                rows = [contexts((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                take = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
+                anchor, ctx, start, count, at, sides = (np.concatenate(c) for c in zip(*rows))
+                place = (start.astype(np.int64) << 32) + (sides << 12) + (count << 6) + at
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("tk").take(take), pa.array(anchor), pa.array(ctx), pa.array(place.astype(np.int64))], names=["doc_id", "tk", "anchor", "ctx", "place"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, tk long, anchor long, ctx long, s long, shape int")
+    return rows.mapInArrow(run, f"doc_id {kind}, tk long, anchor long, ctx long, place long")
+
+
+START, AFTER, BEFORE, STRINGS, AT = "shiftright(place, 32)", "shiftright(place, 22) & 1023", "shiftright(place, 12) & 1023", "int(shiftright(place, 6) & 63)", "int(place & 63)"
+NAMES = ["doc_id", "tk", "anchor", "ctx", "place"]
+
+
+def _shared(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The contexts that may hold a string of two documents: two have the anchor, and with it the gram
+    right after or right before it. One of these grams is part of any string of 50 bytes around the
+    anchor. Anchors that a sample shows in more than ``HOT_SHARE`` of the documents are kept
+    unseen, so that no anchor has a large share of the rows."""
+    part = docs.where(f"pmod(xxhash64(doc_id), {SAMPLE}) = 0")
+    least = max(HOT_LEAST, int(HOT_SHARE * part.count()))
+    seen = _occurrences(part).select("doc_id", "tk", "anchor").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hot = scratch.table(seen.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    rows = _occurrences(docs).join(F.broadcast(hot), "anchor", "left")  # at most MOST_HOT rows
+    rows = rows.withColumn("spread", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0)).repartition("anchor", "spread")
+    rows = rows.withColumns({"after": F.expr(AFTER), "before": F.expr(BEFORE)}).sortWithinPartitions("anchor", "spread", "after")
+
+    def met(*by):
+        same = Window.partitionBy("anchor", "spread", *by)
+        return F.min("doc_id").over(same) < F.max("doc_id").over(same)
+
+    rows = rows.withColumn("met", met()).where("hot OR met")
+    rows = rows.withColumn("by_after", met("after")).withColumn("by_before", met("before")).where("hot OR by_after OR by_before")
+    return scratch.table(rows.select(*NAMES), "shared")
 
 
 def smallest_owner(pieces: list[bytes], owners: list[int]) -> list[list[int]]:
@@ -118,40 +157,63 @@ def smallest_owner(pieces: list[bytes], owners: list[int]) -> list[list[int]]:
     return [of[s : s + n - LENGTH + 1].tolist() for s, n in zip(starts, sizes)]
 
 
-def alone(pieces: list[bytes], places: list[int]) -> list[bool]:
-    """Whether a context of one anchor can share no string with the others. A shared string holds the
-    anchor and 34 bytes more, so 17 of them at least follow it, or 17 precede it, in both."""
-    side = (LENGTH - GRAM + 1) // 2
-    after = [p[o : o + GRAM + side] if o + GRAM + side <= len(p) else None for p, o in zip(pieces, places)]
-    before = [p[o - side : o + GRAM] if o >= side else None for p, o in zip(pieces, places)]
-    n_after, n_before = Counter(after), Counter(before)
-    return [(x is None or n_after[x] == 1) and (y is None or n_before[y] == 1) for x, y in zip(after, before)]
+def _reach(parts: list[bytes]) -> list[int]:
+    """For each of one anchor's parts, the longest beginning that it has in common with another one."""
+    width = LENGTH - GRAM
+    values = [int.from_bytes(x.ljust(width, b"\0"), "big") for x in parts]
+    order = sorted(range(len(values)), key=values.__getitem__)
+    out = [0] * len(values)
+    for i, j in zip(order, order[1:]):
+        common = width - (((values[i] ^ values[j]).bit_length() + 7) >> 3)
+        out[i] = max(out[i], common)
+        out[j] = common
+    return out
+
+
+def common_strings(pieces: list[bytes], places: list[int]) -> list[tuple[int, int]]:
+    """For contexts of one anchor (bytes, and the anchor's place in them), the range of strings that another
+    one may hold: what stands before and after the anchor in them must stand so elsewhere. Empty: (0, 0)."""
+    width = LENGTH - GRAM
+    after = _reach([p[o + GRAM : o + LENGTH] for p, o in zip(pieces, places)])
+    before = _reach([p[max(0, o - width) : o][::-1] for p, o in zip(pieces, places)])
+    out = []
+    for p, o, a, b in zip(pieces, places, after, before):
+        first, end = max(0, o - b), min(len(p) - LENGTH + 1, o - (width - a) + 1)
+        out.append((first, end) if first < end else (0, 0))
+    return out
 
 
 def _by_suffix_array(rows: DataFrame, tasks: int) -> DataFrame:
-    """(anchor, ctx, owners) of contexts (anchor, ctx, owner, at, bytes) whose anchors have few."""
+    """(anchor, ctx, owners) of contexts (anchor, ctx, owner, at, bytes) whose anchors have few. Contexts
+    are cut to the strings that others may hold; equal cuts of one anchor are laid out once."""
 
     def run(batches):
-        done, held, size, group = [], [], 0, []
+        done, group, cuts, pieces, least, size = [], [], [], [], [], 0
 
         def close():
             nonlocal size
-            apart = alone([g[4] for g in group], [g[3] for g in group])
-            for g, by_itself in zip(group, apart):
-                if by_itself:
+            own: dict[tuple[int, bytes], int] = {}
+            for g, (first, end) in zip(group, common_strings([g[4] for g in group], [g[3] for g in group])):
+                if first == end:
                     done.append((g[0], g[1], [g[2]] * (len(g[4]) - LENGTH + 1)))
-                else:
-                    held.append(g)
-                    size += len(g[4]) + 1
+                    continue
+                key = g[3] - first, g[4][first : end + LENGTH - 1]
+                if key not in own:
+                    own[key] = len(pieces)
+                    pieces.append(key[1])
+                    least.append(g[2])
+                    size += len(key[1]) + 1
+                least[own[key]] = min(least[own[key]], g[2])
+                cuts.append((g, first, end, own[key]))
             group.clear()
 
         def flush():
             nonlocal size
-            if held:
-                done.extend((h[0], h[1], o) for h, o in zip(held, smallest_owner([h[4] for h in held], [h[2] for h in held])))
+            found = smallest_owner(pieces, least) if pieces else []
+            done.extend((g[0], g[1], [g[2]] * first + found[i] + [g[2]] * (len(g[4]) - LENGTH + 1 - end)) for g, first, end, i in cuts)
             out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.int64()))], names=["anchor", "ctx", "owners"])
-            done.clear()
-            held.clear()
+            for x in (done, cuts, pieces, least):
+                x.clear()
             size = 0
             return out
 
@@ -188,9 +250,10 @@ def _by_string(rows: DataFrame) -> DataFrame:
 
 
 def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds ``bytes`` to contexts given as (anchor, ctx, owner, tk, s, n, at)."""
-    lists = wanted.groupBy("owner", "tk").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "at")).alias("spans"))
-    full = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("owner"), F.xxhash64("text").alias("tk"), "text").join(lists, ["owner", "tk"])
+    """(anchor, ctx, owner, at, m, bytes) of contexts given as a table of (anchor, ctx, owner, tk, s, n, at, m)."""
+    lists = wanted.groupBy("owner", "tk").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "at", "m")).alias("spans"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("owner"), F.xxhash64("text").alias("tk"), "text")
+    full = narrowed(texts, "tk", wanted).join(lists, ["owner", "tk"])
 
     def run(batches):
         for b in batches:
@@ -199,45 +262,44 @@ def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for o, t, spans in zip(*(b.column(c).slice(i, 64).to_pylist() for c in ("owner", "text", "spans"))):
                     raw = t.encode("utf-8", "surrogatepass")
                     for x in spans:
-                        out[x["anchor"], x["ctx"], o, x["at"]] = raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))), pa.array(list(out.values()), pa.binary())], names=["anchor", "ctx", "owner", "at", "bytes"])
+                        out[x["anchor"], x["ctx"], o, x["at"], x["m"]] = raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))), pa.array(list(out.values()), pa.binary())], names=["anchor", "ctx", "owner", "at", "m", "bytes"])
 
-    return full.select("owner", "text", "spans").mapInArrow(run, "anchor long, ctx long, owner long, at int, bytes binary")
+    return full.select("owner", "text", "spans").mapInArrow(run, "anchor long, ctx long, owner long, at int, m long, bytes binary")
 
 
 def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, tk, runs): byte ranges that smaller documents hold too, per document. The two passes
-    over all anchors are jobs of their own, so that their shuffles are never there together."""
+    """(doc_id, tk, runs): byte ranges that smaller documents hold too, per document."""
     spark = docs.sparkSession
-    occ = _occurrences(docs)
-    met = scratch.table(occ.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
-    shared = scratch.table(occ.join(met, "anchor"), "shared")
-    scratch.drop(met)
-    kinds = shared.groupBy("anchor", "ctx").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "tk", "s")).alias("f"), F.first("shape").alias("shape"))
-    kinds = scratch.table(kinds.select("anchor", "ctx", F.col("f.doc_id").alias("owner"), F.col("f.tk").alias("tk"), F.col("f.s").alias("s"), F.expr("shape div 64").alias("n"), F.expr("int(shape % 64)").alias("at")), "kinds")
-    size = scratch.table(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "sizes")
-    several = kinds.join(size.where("m > 1").select("anchor"), "anchor")
-    full = scratch.table(_context_bytes(several, docs), "contexts")
-    many = size.where(F.col("m") > MOST_CONTEXTS).select("anchor")
+    shared = _shared(docs, scratch)
+    kinds = shared.groupBy("anchor", "ctx").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "tk", "place")).alias("f"))
+    kinds = kinds.select("anchor", "ctx", F.col("f.doc_id").alias("owner"), F.col("f.tk").alias("tk"), F.col("f.place").alias("place")).withColumns({"after": F.expr(AFTER), "before": F.expr(BEFORE)})
+    # a context that no other one of its anchor has a side with shares strings with its equals only
+    like = lambda side: F.count("*").over(Window.partitionBy("anchor", side)) > 1
+    kinds = kinds.repartition("anchor").withColumn("a", like("after")).withColumn("b", like("before")).withColumn("open", F.expr("a OR b"))
+    kinds = kinds.withColumn("m", F.count_if("open").over(Window.partitionBy("anchor")))
+    kinds = scratch.table(kinds.selectExpr("anchor", "ctx", "owner", "tk", f"{START} AS s", f"{STRINGS} AS n", f"{AT} AS at", "open", "m"), "kinds")
+    full = scratch.table(_context_bytes(kinds.where("open").drop("open"), docs), "contexts")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    few = _by_suffix_array(full.join(many, "anchor", "left_anti"), tasks)
     none = F.lit(None)
-    owners = few.unionByName(_by_string(full.drop("at").join(many, "anchor", "left_semi"))).withColumn("only", none.cast("long"))
-    single = kinds.join(size.where("m = 1").select("anchor"), "anchor").select("anchor", "ctx", none.cast("array<long>").alias("owners"), F.col("owner").alias("only"))
-    owners = scratch.table(owners.unionByName(single), "owners")
-    for used in (kinds, size, full):
+    owners = _by_suffix_array(full.where(f"m <= {MOST_CONTEXTS}"), tasks).unionByName(_by_string(full.where(f"m > {MOST_CONTEXTS}").drop("at", "m")))
+    single = kinds.where("NOT open").select("anchor", "ctx", none.cast("array<long>").alias("owners"), F.col("owner").alias("only"))
+    owners = scratch.table(owners.withColumn("only", none.cast("long")), "owners")
+    scratch.drop(full)
+    owners = owners.unionByName(single)
+    found = shared.join(owners, ["anchor", "ctx"]).withColumns({"s": F.expr(START), "n": F.expr(STRINGS)})
+    found = found.where("coalesce(only, array_min(owners)) < doc_id")
+    # strings whose smallest owner is smaller, as runs: a new one where the place does not follow on
+    at = "filter(transform(owners, (o, i) -> CASE WHEN o < doc_id THEN i END), i -> i IS NOT NULL)"
+    begin = "filter(at, (x, i) -> i = 0 OR get(at, i - 1) <> x - 1)"
+    last = "filter(at, (x, i) -> get(at, i + 1) IS NULL OR get(at, i + 1) <> x + 1)"
+    found = found.withColumn("at", F.expr(at)).withColumns({"begin": F.expr(f"coalesce({begin}, array(0))"), "last": F.expr(f"coalesce({last}, array(n - 1))")})
+    hit = found.select("doc_id", "tk", "s", F.explode(F.arrays_zip("begin", "last")).alias("r"))
+    hit = hit.select("doc_id", "tk", (F.col("s") + F.col("r.begin")).alias("a"), (F.col("s") + F.col("r.last") + LENGTH).alias("e"))
+    runs = scratch.table(hit.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "e")).alias("runs")), "runs")
+    for used in (shared, kinds, owners):
         scratch.drop(used)
-    found = shared.join(owners, ["anchor", "ctx"])
-    one = found.where("only < doc_id").select("doc_id", "tk", F.col("s").alias("a"), (F.col("s") + F.expr("shape div 64") + LENGTH - 1).alias("e"))
-    hit = (
-        found.where("only IS NULL AND array_min(owners) < doc_id")
-        .select("doc_id", "tk", "s", F.expr("filter(transform(owners, (o, i) -> CASE WHEN o < doc_id THEN i END), i -> i IS NOT NULL)").alias("at"))
-        # neighbours of one context: a new run where the place does not follow on
-        .select("doc_id", "tk", "s", "at", F.expr("filter(at, (x, i) -> i = 0 OR get(at, i - 1) <> x - 1)").alias("begin"), F.expr("filter(at, (x, i) -> get(at, i + 1) IS NULL OR get(at, i + 1) <> x + 1)").alias("last"))
-        .select("doc_id", "tk", "s", F.explode(F.arrays_zip("begin", "last")).alias("r"))
-        .select("doc_id", "tk", (F.col("s") + F.col("r.begin")).alias("a"), (F.col("s") + F.col("r.last") + LENGTH).alias("e"))
-    )
-    return one.unionByName(hit).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "e")).alias("runs"))
+    return runs
 
 
 def merged(runs) -> list[tuple[int, int]]:

@@ -57,10 +57,24 @@ def test_suffix_dedup_on_overlapping_copies(spark):
 def test_contexts_cover_every_string_across_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 100)
     raw = random.Random(1).randbytes(1000)
-    _, _, starts, counts, _ = suffix_dedup.contexts(raw)
+    _, _, starts, counts, *_ = suffix_dedup.contexts(raw)
     assert sorted(i for s, n in zip(starts, counts) for i in range(s, s + n)) == list(range(951))
 
 
+def test_suffix_dedup_of_hot_passages_and_alike_contexts(spark, monkeypatch):
+    """Passages that most documents share, spliced at odd places, with their anchors known as hot."""
+    for k, v in {"SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 10, "MOST_CONTEXTS": 8, "PIECE": 700}.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = []
+    for i in range(40):
+        a, n = rng.randrange(500), rng.randint(30, 400)
+        rows.append((i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) + passage[a : a + n] + rng.choice(["", "x" * 130, "tail"]) + passage[a // 2 : a // 2 + 47]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in suffix_dedup.dedup(docs).collect()) == plain_bytes(rows)
+
+
 def test_suffix_dedup_on_an_empty_table(empty):
     assert suffix_dedup.dedup(empty).collect() == []
 
