@@ -19,6 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 #: While a table is written: its shuffles go afterwards, batches sent to Python stay small, and
 #: small shuffles become few files.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: Scratch tables need no checksum files and no marker: on a local file system each file costs processes.
+OPTIONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 SALTS = 8
 _own: dict[str, str] = {}
 
@@ -55,7 +57,7 @@ class Scratch:
         for k, v in WRITING.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.parquet(path)
+            df.write.options(**OPTIONS).parquet(path)
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v)

@@ -75,7 +75,7 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, top
     rows = keyed(docs, topic)
     cells = keyed(docs.select("doc_id", "source", "lang", "text") if topic is None else docs, topic).groupBy(*DIMS).agg(F.sum("_m_tokens").alias("t"))
     p = raked(cells, targets, sweeps).select(*DIMS, F.col("p").alias("_m_p"))
-    out = rows.join(p, list(DIMS), "left").withColumn("_m_p", F.coalesce("_m_p", F.lit(1.0)))
+    out = rows.join(p, list(DIMS), "left").withColumn("_m_p", F.when(F.col("_m_tokens") == 0, 1.0).otherwise(F.coalesce("_m_p", F.lit(1.0))))
     return out.withColumn("_m_kept", draw(F.col("doc_id")) < F.col("_m_p"))
 
 
@@ -107,7 +107,7 @@ cells AS (SELECT source, lang, topic, sum(tokens) AS t FROM k GROUP BY ALL),
 w0 AS (SELECT *, t AS w, (SELECT sum(t) FROM cells) AS all_t FROM cells JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic) WHERE t > 0),
 {", ".join(steps)},
 p AS (SELECT source, lang, topic, w / t / max(w / t) OVER () AS p FROM {last})
-SELECT doc_id, topic, tokens::BIGINT AS n_tokens, round(coalesce(p, 1), 9) AS probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(p, 1) AS kept
-FROM k LEFT JOIN p USING (source, lang, topic)
+SELECT doc_id, topic, tokens::BIGINT AS n_tokens, round(own, 9) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < own AS kept
+FROM (SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE coalesce(p, 1) END AS own FROM k LEFT JOIN p USING (source, lang, topic))
 """

@@ -242,6 +242,13 @@ def test_raking_meets_the_margins(spark):
     assert max(r["_m_p"] for r in out) == pytest.approx(1)
 
 
+def test_texts_without_weight_are_kept(spark):
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "word " * (i % 200), "en", f"s{i % 7 % 3}") for i in range(900)]
+    out = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert min(r["_m_p"] for r in out) < 1
+    assert all(r["_m_kept"] and r["_m_p"] == 1 for r in out if not r.text)
+
+
 def test_sampling_is_the_same_again_and_keeps_columns(edge, empty):
     a, b = mixing.sample(edge), mixing.sample(edge.repartition(1))
     assert a.columns == edge.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
