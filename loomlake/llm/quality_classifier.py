@@ -15,11 +15,12 @@ usable labels every score is 0.5. Labels and ids are never features.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BASE, blocks, mix, spaces, word_hashes
@@ -113,9 +114,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Mode
     return Model((vectors @ diff).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list:
-    """Features of the sampled documents; each is at most BUCKETS pairs, whatever its text's length."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int, keep: Callable[[Column], Column]) -> list:
+    """Features of the sampled documents, ``per_label`` of each label among those whose id ``keep``
+    takes; each is at most BUCKETS pairs, whatever its text's length."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_label rows
@@ -132,8 +134,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int
     return [(np.frombuffer(r["at"], np.uint32), np.frombuffer(r["n"], np.float32), r["y"]) for r in got]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE) -> Model:
-    return train(training_rows(docs, labels, label, per_label))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE, keep: Callable[[Column], Column] = lambda doc_id: F.lit(True)) -> Model:
+    return train(training_rows(docs, labels, label, per_label, keep))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,5 +158,5 @@ def held_out(doc_id):
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on labelled rows outside the held-out fold and scores every document."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))), labels)
+    model = fit(docs, labels, keep=lambda doc_id: ~held_out(doc_id))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

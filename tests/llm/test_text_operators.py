@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -216,6 +217,9 @@ def test_classifier_learns_marks_and_repeats(spark):
     held = [(r.predicted, dict(labels)[r.doc_id]) for r in out if r.held_out and r.doc_id is not None and r.doc_id < 900]
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    taken = quality_classifier.training_rows(docs, lab, "quality", 40, lambda i: ~quality_classifier.held_out(i))
+    assert Counter(y for *_, y in taken) == {0: 40, 1: 40}
     assert len({r.score for r in out if r.doc_id in (900, 901)}) == 1
 
 
