@@ -26,8 +26,8 @@ def freshness(day: Column, as_of: Column) -> Column:
 
 
 def renumbered(rows: DataFrame, *order: Column | str, most: int | None = None) -> DataFrame:
-    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)) - 1)
-    return out if most is None else out.where(F.col("rank") < most)
+    out = rows.withColumn("_place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
+    return (out if most is None else out.where(F.col("_place") <= most)).withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
 def rrf(rows: DataFrame, weights: list[float] | None = None, k: int = RRF_K, most: int | None = LIMIT, key: Column | None = None, bonus: Column | None = None) -> DataFrame:

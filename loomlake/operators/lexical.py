@@ -1,8 +1,11 @@
-"""Inverted index and BM25 over chunks, for many questions at once."""
+"""Inverted index and BM25 over chunks, for many questions at once. An index is built once,
+in memory of the plan (``index``) or stored (``sources.notes.store_index``), and holds all statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,70 +14,89 @@ K1, B, FIELD_WEIGHTS, PER_QUERY = 1.2, 0.75, {"text": 1.0, "heading": 0.5}, 20
 GREP, GREP_CANDIDATES, GREP_SCOPED, GREP_SCORE = 20, 50, 500, 0.5
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, field, chunk_id, tf, len) of chunks (chunk_id, heading_path, text)."""
-    fields = chunks.select("chunk_id", F.explode(F.create_map(F.lit("text"), T.tokens(F.coalesce("text", F.lit(""))), F.lit("heading"), T.tokens(F.coalesce("heading_path", F.lit(""))))).alias("field", "terms"))
-    return fields.select("chunk_id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("term", "field", "chunk_id", "len").agg(F.count("*").alias("tf"))
+@dataclass
+class Index:
+    """postings (term, field, chunk_id, len, tf); terms (term, field, df); stats (n, avg_text,
+    avg_heading), one row about the whole index, averages rounded, at least 1."""
 
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
-def field_stats(chunks: DataFrame) -> DataFrame:
-    """(n, avg_text, avg_heading): one row about the whole index, averages rounded, at least 1."""
-    average = lambda c: F.greatest(F.lit(1.0), F.round(F.avg(F.size(T.tokens(F.coalesce(c, F.lit("")))))))
-    return chunks.agg(F.count("*").alias("n"), average("text").alias("avg_text"), average("heading_path").alias("avg_heading"))
 
+def term_counts(rows: DataFrame, found: Column) -> DataFrame:
+    """Each row once for each distinct term in ``found``, with ``len``, ``term`` and ``tf``. Terms are sorted
+    and counted within their row, before they are exploded."""
+    sorted_ = rows.withColumn("_terms", F.sort_array(found)).withColumn("len", F.size("_terms"))
+    # of sorted terms, those that differ from the one before them start a run
+    runs = sorted_.withColumn("_at", F.expr("filter(transform(_terms, (t, i) -> CASE WHEN i = 0 OR t <> get(_terms, i - 1) THEN i END), i -> i IS NOT NULL)"))
+    each = runs.withColumn("_e", F.explode(F.expr("transform(_at, (x, i) -> struct(get(_terms, x) AS term, bigint(coalesce(get(_at, i + 1), len) - x) AS tf))")))
+    return each.select(*rows.columns, "len", "_e.term", "_e.tf")
 
-def document_frequency(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term", "field").agg(F.count("*").alias("df"))
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, field, chunk_id, len, tf) of chunks (chunk_id, heading_path, text)."""
+    field = lambda name, c: chunks.select("chunk_id", F.lit(name).alias("field"), F.coalesce(c, F.lit("")).alias("content")).where("content <> ''")
+    both = field("text", "text").unionByName(field("heading", "heading_path"))
+    return term_counts(both, T.token_bag(F.col("content"))).select("term", "field", "chunk_id", "len", "tf")
 
-def scores(chunks: DataFrame, questions: DataFrame, posts: DataFrame | None = None) -> DataFrame:
-    """(question_id, chunk_id, score) of every chunk with a question's term in a field. Statistics
-    cover the whole index, whatever is filtered later. Questions meet postings on their terms, so
-    only postings of asked terms are read past the join."""
+
+def index(chunks: DataFrame, posts: DataFrame | None = None) -> Index:
+    """``posts``: the postings of all ``chunks``, where they are written already."""
     posts = postings(chunks) if posts is None else posts
+    terms = posts.groupBy("term", "field").agg(F.count("*").alias("df"))
+    n = chunks.agg(F.count("*").alias("n"))
+    average = lambda field: F.greatest(F.lit(1.0), F.round(F.coalesce(F.sum(F.when(F.col("field") == field, F.col("tf"))), F.lit(0)) / F.first("n")))
+    stats = posts.select("field", "tf").groupBy("field").agg(F.sum("tf").alias("tf")).join(n, how="right").agg(F.first("n").alias("n"), average("text").alias("avg_text"), average("heading").alias("avg_heading"))
+    return Index(posts, terms, stats)
+
+
+def scores(questions: DataFrame, index: Index) -> DataFrame:
+    """(question_id, chunk_id, score) of every chunk with a question's term in a field. Statistics
+    cover the whole index, whatever is filtered later; only postings of asked terms pass the join."""
     asked = questions.select("question_id", F.explode(T.query_tokens(F.col("text"))).alias("term"))
-    hits = posts.join(asked, "term")
-    df = document_frequency(posts.join(asked.select("term").distinct(), "term", "left_semi"))
-    stats = F.broadcast(field_stats(chunks))  # one row
+    hits = index.postings.join(asked.join(index.terms, "term"), ["term", "field"])
+    stats = F.broadcast(index.stats)  # one row
     avg = F.when(F.col("field") == "text", F.col("avg_text")).otherwise(F.col("avg_heading"))
     weight = F.when(F.col("field") == "text", FIELD_WEIGHTS["text"]).otherwise(FIELD_WEIGHTS["heading"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    return hits.join(df, ["term", "field"]).crossJoin(stats).groupBy("question_id", "chunk_id").agg(F.sum(weight * idf * tf).alias("score"))
+    return hits.crossJoin(stats).groupBy("question_id", "chunk_id").agg(F.sum(weight * idf * tf).alias("score"))
 
 
 def ranked(found: DataFrame, most: int | None = PER_QUERY, by: str = "score", id_col: str = "chunk_id") -> DataFrame:
     """Adds ``rank`` from 0 per question: score descending (to 9 places), then id."""
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round(by, 9)), id_col)
-    out = found.withColumn("rank", F.row_number().over(w) - 1)
-    return out if most is None else out.where(F.col("rank") < most)
+    out = found.withColumn("rank", F.row_number().over(w))
+    return (out if most is None else out.where(F.col("rank") <= most)).withColumn("rank", F.col("rank") - 1)
 
 
-def bm25(chunks: DataFrame, docs: DataFrame, questions: DataFrame, most: int = PER_QUERY) -> DataFrame:
-    """(question_id, rank, chunk_id, doc_id, score) within each question's tree."""
+def bm25(chunks: DataFrame, docs: DataFrame, questions: DataFrame, most: int = PER_QUERY, words: Index | None = None) -> DataFrame:
+    """(question_id, rank, chunk_id, doc_id, score) within each question's tree. ``words``: the
+    chunks' index, else one is made in passing."""
     where = chunks.select("chunk_id", "doc_id").join(docs.select("doc_id", "tree"), "doc_id")
-    found = scores(chunks, questions).join(where, "chunk_id").join(questions.select("question_id", F.col("tree").alias("asked_tree")), "question_id").where("tree = asked_tree")
+    found = scores(questions, words or index(chunks)).join(where, "chunk_id").join(questions.select("question_id", F.col("tree").alias("asked_tree")), "question_id").where("tree = asked_tree")
     return ranked(found.drop("asked_tree"), most)
 
 
-def grep(chunks: DataFrame, docs: DataFrame, questions: DataFrame, folder: str | None = None) -> DataFrame:
+def grep(chunks: DataFrame, docs: DataFrame, questions: DataFrame, folder: str | None = None, words: Index | None = None) -> DataFrame:
     """Candidates are limited first and filtered by folder after; the score is a constant."""
-    found = bm25(chunks, docs, questions, GREP_SCOPED if folder else GREP_CANDIDATES).join(docs.select("doc_id", "relative_path"), "doc_id")
+    found = bm25(chunks, docs, questions, GREP_SCOPED if folder else GREP_CANDIDATES, words).join(docs.select("doc_id", "relative_path"), "doc_id")
     if folder:
         found = found.where(T.under_folder(F.col("relative_path"), folder))
     w = Window.partitionBy("question_id").orderBy("rank")
-    out = found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < GREP)
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= GREP).withColumn("rank", F.col("rank") - 1)
     return out.withColumns({"score": F.lit(GREP_SCORE), "source": F.lit("GREP")})
 
 
-def multi_query(chunks: DataFrame, docs: DataFrame, variants: DataFrame, most: int = PER_QUERY) -> DataFrame:
+def multi_query(chunks: DataFrame, docs: DataFrame, variants: DataFrame, most: int = PER_QUERY, words: Index | None = None) -> DataFrame:
     """Hits of every variant (question_id, q_idx, text, tree) one after the other, not deduplicated."""
     keyed = variants.withColumn("question_id_", F.col("question_id")).withColumn("question_id", F.struct("question_id", "q_idx"))
-    found = bm25(chunks, docs, keyed.select("question_id", "text", "tree"), most)
+    found = bm25(chunks, docs, keyed.select("question_id", "text", "tree"), most, words)
     w = Window.partitionBy("question_id").orderBy("q_idx", "sub")
     return found.select(F.col("question_id.question_id").alias("question_id"), F.col("question_id.q_idx").alias("q_idx"), F.col("rank").alias("sub"), "chunk_id", "doc_id", "score").withColumn("rank", F.row_number().over(w) - 1)
 
 
 def unindexed(chunks: DataFrame, posts: DataFrame) -> DataFrame:
     """Chunks with text that have no posting: what a rebuild has to add."""
-    return chunks.where(F.size(T.tokens(F.concat_ws(" ", "text", "heading_path"))) > 0).join(posts.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return chunks.where(F.size(T.token_bag(F.concat_ws(" ", "text", "heading_path"))) > 0).join(posts.select("chunk_id").distinct(), "chunk_id", "left_anti")

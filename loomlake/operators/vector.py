@@ -26,7 +26,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | Column, id_col: str =
     found = pairs.withColumn("score", dot(F.col("embedding"), F.col("qvec"))).drop("embedding", "qvec")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), id_col)
     limit = F.lit(k) if isinstance(k, int) else k
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
 def top_k_scoped(vectors: DataFrame, allowed: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

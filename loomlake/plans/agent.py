@@ -58,7 +58,7 @@ class Tools:
 
     def grep(self, query: str, scope: str | None = None) -> DataFrame:
         asked = self.index.spark.createDataFrame([("tool", query, self.tree)], "question_id string, text string, tree string")
-        found = lexical.grep(self.index.chunks, self.index.docs, asked, scope).join(self.index.chunks.select("chunk_id", "heading_path", "text"), "chunk_id")
+        found = lexical.grep(self.index.chunks, self.index.docs, asked, scope, self.index.words).join(self.index.chunks.select("chunk_id", "heading_path", "text"), "chunk_id")
         return found.select("question_id", "rank", "doc_id", "heading_path", F.substring("text", 1, 300).alias("snippet"), "score", "relative_path", "source", F.lit(False).alias("topic_match"))
 
     def vector_search(self, query: str, scope: str | None = None, k: int = 10) -> DataFrame | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def query(sql: str | None = None):
 # --- SQL fragments: the note model over the driver's tables ---
 DOCS = """docs AS (SELECT doc_id, lang AS tree, doc_id || '.md' AS file_name, source || '/' || lang || '/' || doc_id || '.md' AS relative_path,
   DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS document_date, text AS content FROM documents)"""
-CHUNKS = """chunks AS (SELECT doc_id * 1000 + idx AS chunk_id, doc_id, idx, substr(text, CAST(idx * 680 + 1 AS BIGINT), 800) AS text FROM
+CHUNKS = """chunks AS (SELECT doc_id * 1048576 + idx AS chunk_id, doc_id, idx, substr(text, CAST(idx * 680 + 1 AS BIGINT), 800) AS text FROM
   (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 800) / 680.0)) AS BIGINT))) AS idx FROM documents WHERE length(text) > 0))"""
 NORM = "lower(regexp_replace({0}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]|\\s|　', ' ', 'g'))"
 TERMS = """runs AS (SELECT chunk_id, unnest(regexp_extract_all(norm, '[\\x21-\\x7F]+|[^\\x00-\\x7F]+')) AS run FROM (SELECT chunk_id, """ + NORM.format("text") + """ AS norm FROM chunks)),
@@ -65,6 +66,17 @@ def _model(spark: SparkSession, d: str):
     return docs, chunks, spark.createDataFrame([(k, v, TREES[k]) for k, v in ASKED.items()], "question_id string, text string, tree string")
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
+def _words(spark: SparkSession, d: str) -> lexical.Index:
+    """The stored index of the folder's chunks, written when a session first asks for it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = notes.store_index(notes.from_tables(spark, d)[1], f"{notes.workspace(spark)}/words-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     q = v.where(F.col("vec_id").isin(0, 1, 2)).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("question_id"), F.col("embedding").alias("qvec"))
@@ -233,7 +245,7 @@ def window_chunks(spark, d):
 @query(f"WITH {CHUNKS}, {TERMS} SELECT chunk_id, term, count(*) AS n FROM terms GROUP BY ALL")
 def ngram_tokens(spark, d):
     c = notes.from_tables(spark, d)[1]
-    return c.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    return lexical.term_counts(c.select("chunk_id", "text"), T.tokens(F.col("text"))).select("chunk_id", "term", F.col("tf").alias("n"))
 
 
 @query("SELECT doc_id, CAST((length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) // 3 + length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) // 4 + 5 AS BIGINT) AS n FROM documents")
@@ -241,15 +253,21 @@ def token_estimate(spark, d):
     return _docs(spark, d).select("doc_id", T.token_estimate(F.col("content")).alias("n"))
 
 
-@query("SELECT item_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS terms FROM benchmark WHERE length(text) = strlen(text)")
+@query("WITH n AS (SELECT item_id, regexp_extract_all(" + NORM.format("text") + """, '[\\x21-\\x7F]+|[^\\x00-\\x7F]+') AS runs FROM benchmark),
+r AS (SELECT item_id, unnest(runs) AS run, unnest(generate_series(1, len(runs))) AS ri FROM n),
+t AS (SELECT item_id, run AS term, ri * 10000000 AS o FROM r WHERE ascii(run) < 128
+  UNION ALL SELECT item_id, substr(run, i, 1), ri * 10000000 + i FROM (SELECT *, unnest(generate_series(1, length(run))) AS i FROM r WHERE ascii(run) >= 128)
+  UNION ALL SELECT item_id, substr(run, i, 2), ri * 10000000 + 5000000 + i FROM (SELECT *, unnest(generate_series(1, length(run) - 1)) AS i FROM r WHERE ascii(run) >= 128)),
+f AS (SELECT item_id, term, min(o) AS o, length(term) > 1 OR ascii(term) < 128 AS good FROM t GROUP BY ALL),
+g AS (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS any_good FROM f)
+SELECT item_id, coalesce(list(term ORDER BY o)[1:100], []) AS terms FROM benchmark LEFT JOIN (SELECT * FROM g WHERE good OR NOT any_good) USING (item_id) GROUP BY item_id""".replace("list(term ORDER BY o)", "(list(term ORDER BY o) FILTER (term IS NOT NULL))"))
 def query_tokens(spark, d):
-    b = spark.read.parquet(f"{d}/benchmark.parquet").where("length(text) = octet_length(text)")
-    return b.select("item_id", F.array_sort(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: x != ""))).alias("terms"))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.query_tokens(F.col("text")).alias("terms"))
 
 
 @query(f"WITH {CHUNKS}, {TERMS}, tf AS (SELECT term, chunk_id, count(*) AS tf FROM terms GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY term")
 def term_stats(spark, d):
-    p = lexical.postings(notes.from_tables(spark, d)[1]).where("field = 'text'")
+    p = _words(spark, d).postings.where("field = 'text'")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
@@ -259,14 +277,28 @@ def term_stats(spark, d):
 @query(f"WITH {BM25} SELECT question_id, rank, chunk_id, doc_id, round(score, 6) AS score FROM bm WHERE rank < 20")
 def bm25_topk(spark, d):
     docs, chunks, q = _model(spark, d)
-    return lexical.bm25(chunks, docs, q).select("question_id", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
+    return lexical.bm25(chunks, docs, q, words=_words(spark, d)).select("question_id", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {DOCS}, {CHUNKS}, {TERMS}, heads AS (SELECT chunk_id, unnest([source, lang]) AS term FROM chunks JOIN documents USING (doc_id)),
+both_ AS (SELECT chunk_id, 'text' AS field, term FROM terms UNION ALL SELECT chunk_id, 'heading', term FROM heads), lens AS (SELECT chunk_id, field, count(*) AS len FROM both_ GROUP BY ALL),
+stats AS (SELECT field, (SELECT count(*) FROM chunks) AS n, greatest(1, round(sum(len) / (SELECT count(*) FROM chunks)::DOUBLE)) AS avg_len FROM lens GROUP BY field),
+tf AS (SELECT term, field, chunk_id, count(*) AS tf FROM both_ GROUP BY ALL), df AS (SELECT term, field, count(*) AS df FROM tf GROUP BY ALL),
+score AS (SELECT chunk_id, sum(CASE field WHEN 'text' THEN 1.0 ELSE 0.5 END::DOUBLE * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM tf JOIN df USING (term, field) JOIN lens USING (chunk_id, field) JOIN stats USING (field) WHERE term IN ('src1', 'mention', 'en') GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank, chunk_id, round(score, 6) AS score FROM score JOIN chunks USING (chunk_id) JOIN docs USING (doc_id) WHERE tree = 'en' QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) <= 20""")
+def bm25_headings(spark, d):
+    docs, chunks = notes.from_tables(spark, d)
+    chunks = chunks.drop("heading_path").join(docs.select("doc_id", F.regexp_extract("relative_path", "^(.*)/", 1).alias("heading_path")), "doc_id")
+    q = spark.createDataFrame([("q", "src1 mention en", "en")], "question_id string, text string, tree string")
+    return lexical.bm25(chunks, docs, q).select("rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BM25}, best AS (SELECT question_id, doc_id, min(rank) AS r, arg_min(chunk_id, rank) AS chunk_id, max(score) AS score FROM bm WHERE rank < 20 GROUP BY ALL)
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY r) - 1 AS rank, doc_id, chunk_id, round(score, 6) AS score FROM best QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY r) <= 10""")
 def bm25_top_docs(spark, d):
     docs, chunks, q = _model(spark, d)
-    rows = lexical.bm25(chunks, docs, q).withColumn("topic_match", F.lit(False))
+    rows = lexical.bm25(chunks, docs, q, words=_words(spark, d)).withColumn("topic_match", F.lit(False))
     return fusion.identity_rerank(fusion.collapse(rows)).select("question_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -274,14 +306,14 @@ def bm25_top_docs(spark, d):
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) - 1 AS rank, chunk_id, 0.5::DOUBLE AS score FROM kept QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank) <= 20""")
 def grep_scoped(spark, d):
     docs, chunks, q = _model(spark, d)
-    return lexical.grep(chunks, docs, q, "src0").select("question_id", "rank", "chunk_id", "score")
+    return lexical.grep(chunks, docs, q, "src0", words=_words(spark, d)).select("question_id", "rank", "chunk_id", "score")
 
 
 @query(f"""WITH {BM25} SELECT 'all' AS question_id, row_number() OVER (ORDER BY question_id, rank) - 1 AS rank, chunk_id, round(score, 6) AS score FROM bm WHERE rank < 20""")
 def bm25_multi_query(spark, d):
     docs, chunks, q = _model(spark, d)
     v = q.select(F.lit("all").alias("question_id"), (F.substring("question_id", 2, 1).cast("int") - 1).alias("q_idx"), "text", "tree")
-    return lexical.multi_query(chunks, docs, v).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return lexical.multi_query(chunks, docs, v, words=_words(spark, d)).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VECTORS} SELECT question_id, vec_id, round(score, 6) AS score FROM dots")
@@ -331,22 +363,22 @@ def nearest_folders(spark, d):
 
 def _lists(spark, d) -> DataFrame:
     docs, chunks, q = _model(spark, d)
-    bm = lexical.bm25(chunks, docs, q).select("question_id", "rank", "doc_id", "chunk_id", "score", F.lit("BM25").alias("source"), F.lit(2).alias("list_idx"))
+    bm = lexical.bm25(chunks, docs, q, words=_words(spark, d)).select("question_id", "rank", "doc_id", "chunk_id", "score", F.lit("BM25").alias("source"), F.lit(2).alias("list_idx"))
     v, qv = _vectors(spark, d)
     names = F.concat(F.lit("q"), (F.substring("question_id", 2, 1).cast("int") + 1).cast("string"))
-    vec = vector.top_k(v, qv.withColumn("question_id", names), 20).select("question_id", "rank", F.col("vec_id").alias("doc_id"), (F.col("vec_id") * 1000).alias("chunk_id"), "score", F.lit("VECTOR").alias("source"), F.lit(1).alias("list_idx"))
-    meta = docs.where("doc_id % 97 = 0").join(q.select("question_id", "tree"), "tree")
-    meta = fusion.renumbered(meta, "doc_id").select("question_id", "rank", "doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit("METADATA").alias("source"), F.lit(0).alias("list_idx"))
+    vec = vector.top_k(v, qv.withColumn("question_id", names), 20).select("question_id", "rank", F.col("vec_id").alias("doc_id"), (F.col("vec_id") * notes.CHUNK_IDS).alias("chunk_id"), "score", F.lit("VECTOR").alias("source"), F.lit(1).alias("list_idx"))
+    meta = relational.dated_between(docs, F.lit(date(2024, 3, 1)), F.lit(date(2024, 3, 4))).join(q.select("question_id", "tree"), "tree")
+    meta = fusion.renumbered(meta, "doc_id").select("question_id", "rank", "doc_id", (F.col("doc_id") * notes.CHUNK_IDS).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit("METADATA").alias("source"), F.lit(0).alias("list_idx"))
     every = bm.unionByName(vec).unionByName(meta)
     every = every.join(docs.select("doc_id", "document_date", "relative_path"), "doc_id")
-    return every.withColumns({"heading_path": F.concat(F.lit("#"), (F.col("chunk_id") % 1000).cast("string")), "topic_match": F.col("source") == "METADATA", "snippet": F.lit("")})
+    return every.withColumns({"heading_path": F.concat(F.lit("#"), (F.col("chunk_id") % notes.CHUNK_IDS).cast("string")), "topic_match": F.col("source") == "METADATA", "snippet": F.lit("")})
 
 
 LISTS = f"""{BM25}, {VECTORS},
 lists AS (SELECT question_id, rank, doc_id, chunk_id, 2 AS list_idx, false AS topic FROM bm WHERE rank < 20 UNION ALL
-  SELECT 'q' || (CAST(substr(question_id, 2) AS INTEGER) + 1), rank, vec_id, vec_id * 1000, 1, false FROM vr WHERE rank < 20 AND vec_id IN (SELECT doc_id FROM docs) UNION ALL
-  SELECT q2.question_id, row_number() OVER (PARTITION BY q2.question_id ORDER BY doc_id) - 1, doc_id, doc_id * 1000, 0, true FROM docs JOIN questions q2 USING (tree) WHERE doc_id % 97 = 0),
-fused AS (SELECT question_id, doc_id, chunk_id % 1000 AS h, sum(CASE list_idx WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 1.2 END::DOUBLE / (61 + rank)) AS score, min(list_idx * 100000 + rank) AS first_seen, bool_or(topic) AS any_topic, arg_min(topic, list_idx * 100000 + rank) AS topic FROM lists GROUP BY ALL),
+  SELECT 'q' || (CAST(substr(question_id, 2) AS INTEGER) + 1), rank, vec_id, vec_id * 1048576, 1, false FROM vr WHERE rank < 20 AND vec_id IN (SELECT doc_id FROM docs) UNION ALL
+  SELECT q2.question_id, row_number() OVER (PARTITION BY q2.question_id ORDER BY doc_id) - 1, doc_id, doc_id * 1048576, 0, true FROM docs JOIN questions q2 USING (tree) WHERE document_date BETWEEN DATE '2024-03-01' AND DATE '2024-03-04'),
+fused AS (SELECT question_id, doc_id, chunk_id % 1048576 AS h, sum(CASE list_idx WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 1.2 END::DOUBLE / (61 + rank)) AS score, min(list_idx * 100000 + rank) AS first_seen, bool_or(topic) AS any_topic, arg_min(topic, list_idx * 100000 + rank) AS topic FROM lists GROUP BY ALL),
 merged AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, first_seen) - 1 AS rank FROM fused QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, first_seen) <= 50),
 coll0 AS (SELECT question_id, doc_id, min(rank) AS r, arg_min(h, CASE WHEN topic THEN rank ELSE rank + 1000 END) AS h, arg_min(score, CASE WHEN topic THEN rank ELSE rank + 1000 END) AS score, bool_or(topic) AS topic FROM merged GROUP BY ALL),
 coll AS (SELECT question_id, doc_id, h, score, topic, row_number() OVER (PARTITION BY question_id ORDER BY r) - 1 AS rank FROM coll0)"""
@@ -355,7 +387,7 @@ coll AS (SELECT question_id, doc_id, h, score, topic, row_number() OVER (PARTITI
 @query(f"WITH {LISTS} SELECT question_id, rank, doc_id, h AS place, round(score, 6) AS score FROM merged")
 def rrf_weighted(spark, d):
     r = fusion.rrf(_lists(spark, d), [1.5, 1.0, 1.2])
-    return r.select("question_id", "rank", "doc_id", F.expr("chunk_id % 1000").alias("place"), F.round("score", 6).alias("score"))
+    return r.select("question_id", "rank", "doc_id", F.expr("chunk_id % 1048576").alias("place"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {LISTS}, f AS (SELECT question_id, chunk_id, doc_id, sum(1 / (61 + rank)::DOUBLE) + 0.01 * exp(-greatest(0, DATE '2024-12-31' - document_date) / 90.0::DOUBLE) AS score, min(list_idx * 100000 + rank) AS o
@@ -370,7 +402,7 @@ def rrf_freshness(spark, d):
 @query(f"WITH {LISTS} SELECT question_id, rank, doc_id, h AS place, topic AS topic_match FROM coll")
 def collapse_by_doc(spark, d):
     c = fusion.collapse(fusion.rrf(_lists(spark, d), [1.5, 1.0, 1.2]))
-    return c.select("question_id", "rank", "doc_id", F.expr("chunk_id % 1000").alias("place"), "topic_match")
+    return c.select("question_id", "rank", "doc_id", F.expr("chunk_id % 1048576").alias("place"), "topic_match")
 
 
 @query(f"WITH {LISTS} SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY topic DESC, rank) - 1 AS rank FROM coll QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY topic DESC, rank) <= 10")
@@ -417,14 +449,14 @@ def folder_pins(spark, d):
     return fusion.folder_pins(rev, merged, scope).select("question_id", "doc_id", "rank")
 
 
-@query(f"""WITH {LISTS}, t AS (SELECT question_id, doc_id, chunk_id % 1000 AS h, CASE list_idx WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 4 END AS trust, list_idx * 100000 + rank AS seq FROM lists),
+@query(f"""WITH {LISTS}, t AS (SELECT question_id, doc_id, chunk_id % 1048576 AS h, CASE list_idx WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 4 END AS trust, list_idx * 100000 + rank AS seq FROM lists),
 b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY question_id, doc_id, h ORDER BY trust, seq) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY trust, seq) - 1 AS rank FROM b),
 s AS (SELECT *, coalesce(sum(10 + length('#' || h) // 4) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r)
 SELECT question_id, rank, doc_id, h AS place FROM s WHERE spent < 200""")
 def integrate_citations(spark, d):
     rows = _lists(spark, d).withColumn("score", F.lit(0.5)).withColumn("rank", F.col("list_idx") * 100000 + F.col("rank"))
-    return fusion.integrate(rows, 200).select("question_id", "rank", "doc_id", F.expr("chunk_id % 1000").alias("place"))
+    return fusion.integrate(rows, 200).select("question_id", "rank", "doc_id", F.expr("chunk_id % 1048576").alias("place"))
 
 
 # --- chat log ---
@@ -480,12 +512,12 @@ def _evaluated(spark, d):
     v, q = _vectors(spark, d)
     path = F.concat(F.lit("Note"), F.col("vec_id").cast("string"))
     labelled = q.join(v.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("question_id"), F.col("label").alias("want")), "question_id").select("question_id", "want")
-    cases = labelled.join(v.where("vec_id < 100"), F.col("want") == F.col("label")).groupBy(F.col("question_id").alias("case_id")).agg(F.collect_list(path).alias("expected")).withColumn("unanswerable", F.lit(False))
+    cases = labelled.join(v, F.col("want") == F.col("label")).groupBy(F.col("question_id").alias("case_id")).agg(F.collect_list(path).alias("expected")).withColumn("unanswerable", F.lit(False))
     found = vector.top_k(v, q, 10).select(F.col("question_id").alias("case_id"), "rank", path.alias("relative_path"), "score")
     return cases, found
 
 
-_EVAL = f"""{VECTORS}, want AS (SELECT 'v' || a.vec_id AS question_id, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id IN (0, 1, 2) AND b.vec_id < 100),
+_EVAL = f"""{VECTORS}, want AS (SELECT 'v' || a.vec_id AS question_id, b.vec_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id IN (0, 1, 2)),
 top AS (SELECT * FROM vr WHERE rank < 10), pc AS (SELECT question_id AS case_id, count(w.vec_id) / count(*)::DOUBLE AS p, count(w.vec_id) / (SELECT count(*) FROM want x WHERE x.question_id = top.question_id)::DOUBLE AS r, coalesce(1.0::DOUBLE / (min(rank) FILTER (w.vec_id IS NOT NULL) + 1), 0) AS rr
   FROM top LEFT JOIN want w USING (question_id, vec_id) GROUP BY question_id)"""
 

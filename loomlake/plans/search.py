@@ -62,6 +62,7 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame | None = None
     folders: DataFrame | None = None
+    words: lexical.Index | None = None  # the chunks' inverted index, where it is stored
 
     @property
     def spark(self) -> SparkSession:
@@ -69,11 +70,12 @@ class Index:
 
 
 def variants(query: str, models: Models) -> list[str]:
-    """The question, its expansions, the hypothetical answer: normalised, distinct, first first."""
-    found = [x.strip() for x in models.expand(query) if x.strip()]
-    found = (found if query in found else [query, *found])[:MAX_QUERIES]
+    """The question, its expansions, the hypothetical answer: white space to single spaces, distinct.
+    The question is first wherever an expansion repeats it; the limit comes before the answer."""
+    plain = lambda texts: [x for t in texts if (x := re.sub(r"\s+", " ", t).strip())]
+    found = list(dict.fromkeys(plain([query, *models.expand(query)])))[:MAX_QUERIES]
     guess = models.hypothetical(query)
-    return list(dict.fromkeys([*found, *([guess.strip()] if guess and guess.strip() else [])]))
+    return list(dict.fromkeys([*found, *plain([guess] if guess else [])]))
 
 
 def _cited(rows: DataFrame, index: Index, source: str, chars: int) -> DataFrame:
@@ -123,7 +125,7 @@ def search(index: Index, query: str, tree: str, today: date, models: Models | No
     models = models or NoModels()
     spark, queries = index.spark, variants(query, models)
     asked = spark.createDataFrame([(query, i, q, tree) for i, q in enumerate(queries)], "question_id string, q_idx int, text string, tree string")
-    bm = _cited(lexical.multi_query(index.chunks, index.docs, asked), index, "BM25", SNIPPET["bm25"])
+    bm = _cited(lexical.multi_query(index.chunks, index.docs, asked, words=index.words), index, "BM25", SNIPPET["bm25"])
     meta = metadata_list(index, query, queries, tree)
     dated = date_list(index, query, tree, today)
     if dated is not None:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown
+from ..operators import lexical
+
+_own: dict[str, str] = {}
 
 MAX_BYTES = 10 * 1024 * 1024
+CHUNK_IDS = 1 << 20  # chunk ids of one document; 680 million characters fit
 CITATION = "array<struct<heading_path:string,snippet:string,score:float,doc_id:bigint,relative_path:string,source:string,topic_match:boolean>>"
 CASES = "id string, query string, expected array<string>, facts array<string>, unanswerable boolean"
 
@@ -81,9 +87,30 @@ def replace_tree(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tree").parquet(path)
 
 
-def write_index(postings: DataFrame, path: str) -> None:
-    """Postings by tree, ordered by term, so that a term's rows lie together."""
-    postings.repartition("tree", "term").sortWithinPartitions("tree", "term").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tree").parquet(path)
+def workspace(spark: SparkSession) -> str:
+    """A folder for tables of our own: the one all executors share, else, where there is no other
+    machine, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not root:
+        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomlake-"))
+    return root.rstrip("/")
+
+
+def store_index(chunks: DataFrame, path: str) -> lexical.Index:
+    """Writes the inverted index of all ``chunks``: postings ranged by term, so that a term's rows lie
+    together and few row groups hold any; document frequencies; one row of statistics."""
+    spark = chunks.sparkSession
+    lexical.postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    made = lexical.index(chunks, spark.read.parquet(f"{path}/postings"))
+    made.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> lexical.Index:
+    return lexical.Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
 
 
 def folder_text(folders: DataFrame) -> Column:
@@ -102,7 +129,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.expr("date_add(date'2024-01-01', int(doc_id % 365))").alias("document_date"),
         F.col("text").alias("content"),
     )
-    chunks = markdown.window_chunks(d).select((F.col("doc_id") * 1000 + F.col("idx")).alias("chunk_id"), "doc_id", F.lit("").alias("heading_path"), "text")
+    chunks = markdown.window_chunks(d).select((F.col("doc_id") * CHUNK_IDS + F.col("idx")).alias("chunk_id"), "doc_id", F.lit("").alias("heading_path"), "text")
     return docs, chunks
 
 
