@@ -12,7 +12,7 @@ their prefixes, and no fewer than the overlap they need less the larger of their
 3. Order by document frequency, rarest first, over shared shingles only. Each document takes the
    ``l`` with the least estimated cost of postings and verifications.
 4. Each document votes for the heaviest holder of each prefix shingle; following the winners a
-   few steps gives clusters of alike texts. A cluster is compared inside tasks, in blocks of
+   few steps gives clusters of alike texts; clusters that share much become one. A cluster is compared inside tasks, in blocks of
    bounded size, against its hub first: those the hub links need no comparison among themselves.
    Pairs inside clusters are never written.
 5. Prefix shingles with documents of several clusters give the remaining pairs, counted, cut by
@@ -42,7 +42,7 @@ from .common import Scratch, narrowed, salted_join
 from .components import components
 from .hashing import shingles, words_of
 
-N, PERCENT, SLACK, MAX_MATCHES, VERIFY_COST, JUMPS = 5, 75, 10, 4, 30.0, 2
+N, PERCENT, SLACK, MAX_MATCHES, VERIFY_COST, JUMPS, PAIRS_SHARE = 5, 75, 10, 4, 30.0, 2, 8
 SAMPLE, HOT_SHARE, HOT_LEAST, MOST_HOT = 16, 0.005, 256, 4096
 BLOCK_TOKENS, BLOCK_DOCS, MEMORY = 1 << 20, 4096, 1 << 16
 
@@ -193,6 +193,23 @@ def clusters(posts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     return at.withColumnRenamed("to", "cluster")
 
 
+def gathered(posts: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``members`` with clusters joined where that is cheaper: a cluster goes into a larger one if their
+    common prefix tokens would form more than a part of all pairs between the two."""
+    rows = posts.select("nid", "tokens").join(members.select("nid", "cluster"), "nid").select("cluster", F.explode("tokens").alias("token"))
+    held = scratch.table(rows.groupBy("token", "cluster").agg(F.count("*").alias("k")), "held")
+    top = held.groupBy("token").agg(F.max(F.struct("k", "cluster")).alias("top"), F.count("*").alias("many")).where("many > 1").select("token", F.col("top.k").alias("j"), F.col("top.cluster").alias("to"))
+    pairs = held.join(scratch.table(top, "tops"), "token").where("cluster <> to").groupBy("cluster", "to").agg(F.sum(F.col("k") * F.col("j")).alias("pairs"))
+    size = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    costs = salted_join(pairs.join(size, "cluster"), size.select(F.col("cluster").alias("to"), F.col("size").alias("room")), ["to"], F.col("cluster"))
+    costs = costs.where(f"struct(room, to) > struct(size, cluster) AND pairs * {PAIRS_SHARE} >= size * room")
+    moves = scratch.table(costs.groupBy("cluster").agg(F.max(F.struct("pairs", "to")).alias("m")).select("cluster", F.col("m.to").alias("to")), "moves")
+    onward = moves.select(F.col("cluster").alias("to"), F.col("to").alias("next"))
+    moves = salted_join(moves, onward, ["to"], F.col("cluster"), "left").select("cluster", F.coalesce("next", "to").alias("to"))
+    moves = scratch.table(moves, "moves")
+    return scratch.table(salted_join(members, moves, ["cluster"], F.col("nid"), "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to"), "gathered")
+
+
 def linked(nids: np.ndarray, tokens: list[np.ndarray], first: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Enough links (node, smallest node of its part) of distinct nodes to connect each component among
     them, where only pairs with one of the places ``first`` are compared, in that order; the first
@@ -331,7 +348,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, scratch: Scratch |
     open_nodes = scratch.table(nodes.join(hits, "nid").where(f"hits >= brought * {need}").select("nid", F.col("own.doc_id").alias("doc_id"), "n"), "candidates")
     sets = scratch.table(whole_sets(docs, open_nodes, n), "sets")
     posts = scratch.table(postings(sets, counted(sets, scratch), percent), "postings")
-    members = clusters(posts, scratch, percent)
+    members = gathered(posts, clusters(posts, scratch, percent), scratch)
     links = within(members, sets, scratch, percent)
     pairs = scratch.table(across(posts, members, scratch, percent), "pairs")
     labels = components(links.unionByName(verified(pairs, sets, percent)), scratch)
