@@ -315,6 +315,7 @@ def across(posts: DataFrame, members: DataFrame, scratch: Scratch, percent: int)
     overlap = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
     need = F.expr(f"greatest(least(l, k), {overlap} - greatest({least('n')} - l, {least('m')} - k))")
     pairs = rows.withColumnRenamed("nid", "a").join(right, "token").where(f"cluster <> other AND (cluster = major OR a < b) AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})  # a pair comes either way round
     return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.first(need).alias("need")).where("hits >= need").select("a", "b")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -251,7 +252,7 @@ def test_join_threshold_is_exact(spark):
     check_join(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
-@pytest.mark.parametrize("settings", [{}, {"SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 20}, {"BLOCK_TOKENS": 400, "BLOCK_DOCS": 7}, {"JUMPS": 0, "SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 2, "MEMORY": 3}])
+@pytest.mark.parametrize("settings", [{}, {"SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 20}, {"BLOCK_TOKENS": 400, "BLOCK_DOCS": 7}, {"JUMPS": 0, "PAIRS_SHARE": 0}, {"JUMPS": 0, "SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 2, "MEMORY": 3}])
 def test_join_on_a_large_group_of_near_copies(spark, monkeypatch, settings):
     """Copies of one text around the threshold, by hot shingles, in many blocks, in many clusters."""
     for k, v in settings.items():
@@ -268,6 +269,24 @@ def test_join_on_a_large_group_of_near_copies(spark, monkeypatch, settings):
     check_join(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_join_across_clusters_of_their_own(spark, monkeypatch, seed):
+    """Chains of edits, with every node a cluster: all links come from pairs, met either way round."""
+    monkeypatch.setattr(ngram_join, "clusters", lambda posts, scratch, percent: posts.select("nid", "n", "weight", F.col("nid").alias("cluster")))
+    monkeypatch.setattr(ngram_join, "PAIRS_SHARE", 0)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(8):
+        base = [f"w{rng.randint(0, 60)}" for _ in range(rng.choice((40, 70)))]
+        for _ in range(15):
+            text = list(base)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = f"e{rng.randint(0, 50)}"
+            rows.append((len(rows), " ".join(text)))
+            base = text if rng.random() < 0.4 else base
+    check_join(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows)
+
+
 def test_linked_connects_what_links_connect():
     rng = np.random.default_rng(4)
     for _ in range(40):
