@@ -36,10 +36,12 @@ from .suffix_array import suffix_array
 
 LENGTH, GRAM, BLOCK_BYTES, MOST_CONTEXTS, PIECE = 50, 16, 1 << 15, 8192, 1 << 20
 SAMPLE, HOT_SHARE, HOT_LEAST, MOST_HOT = 32, 0.005, 128, 4096
+BESIDE, MOST_HELD = 1 << 16, 1 << 18
+_MIXED = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
 def _gram_hashes(codes: np.ndarray) -> np.ndarray:
-    h, width, base = mix(codes.astype(np.uint64) + np.uint64(1)), 1, BASE
+    h, width, base = _MIXED[codes], 1, BASE
     while width < GRAM:
         h = h[:-width] * base + h[width:]
         width, base = 2 * width, np.uint64(int(base) ** 2 % (1 << 64))
@@ -68,26 +70,57 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def contexts(raw: bytes):
     """Arrays (anchor, context hash, first string's start, strings, anchor's place in the first string,
     sides). Sides are 10 bits each of the hashes of the grams right after and before the anchor."""
-    out = []
-    step = PIECE
-    for base in range(0, max(1, len(raw) - LENGTH + 1), step):
-        codes = np.frombuffer(raw[base : base + step + LENGTH - 1], np.uint8)
-        if len(codes) < LENGTH:
-            break
-        h = _gram_hashes(codes)
-        span = LENGTH - GRAM + 1
-        at = _leftmost_least(h, span)
-        cut = np.flatnonzero(np.diff(at, prepend=-1))
-        count = np.diff(cut, append=len(at))
-        # a polynomial over the gram hashes of the context, freed of its place
-        up, down = _powers(1 << len(h).bit_length())
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-        whole = (sums[cut + count + span - 1] - sums[cut]) * down[cut]
-        where, side = at[cut], (h & np.uint64(1023)).astype(np.int64)
-        after = np.where(where + GRAM < len(h), side[np.minimum(where + GRAM, len(h) - 1)], 0)
-        before = np.where(where >= GRAM, side[np.maximum(where - GRAM, 0)], 0)
-        out.append((h[where].view(np.int64), mix(whole + count.astype(np.uint64)).view(np.int64), cut + base, count, where - cut, (after << 10) + before))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+    return contexts_of([raw])[1:]
+
+
+def contexts_of(raws: list[bytes]):
+    """The same of several texts, behind an array of each context's text. Pieces of texts stand side by
+    side while they are hashed, so that short texts share the calls; no string or gram crosses them."""
+    out, row, pieces, size = [], [], [], 0
+    for i, raw in enumerate(raws):
+        for base in range(0, len(raw) - LENGTH + 1, PIECE):
+            pieces.append(raw[base : base + PIECE + LENGTH - 1])
+            row.append((i, base))
+            size += len(pieces[-1])
+            if size >= BESIDE:
+                out.append(_contexts(pieces, row))
+                row, pieces, size = [], [], 0
+    if pieces:
+        out.append(_contexts(pieces, row))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 7
+
+
+def _contexts(pieces: list[bytes], row: list[tuple[int, int]]):
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    h = _gram_hashes(np.frombuffer(b"".join(pieces), np.uint8))
+    span = LENGTH - GRAM + 1
+    at = _leftmost_least(h, span)
+    new = np.empty(len(at), bool)
+    new[0] = True
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    new[begins] = True
+    # what starts in the last bytes of a piece is no string of it
+    past = (ends[:-1, None] + np.arange(1 - LENGTH, 0)).ravel()
+    new[past] = False
+    cut = np.flatnonzero(new)
+    of = np.searchsorted(begins, cut, side="right") - 1
+    count = np.minimum(np.append(cut[1:], len(at)), ends[of] - LENGTH + 1) - cut
+    # a polynomial over the gram hashes of the context, freed of its place
+    up, down = _powers(1 << len(h).bit_length())
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], dtype=np.uint64, out=sums[1:])
+    whole = (sums[cut + count + span - 1] - sums[cut]) * down[cut]
+    where, mask = at[cut], np.uint64(1023)
+    after = np.where(where + GRAM < ends[of] - GRAM + 1, h[np.minimum(where + GRAM, len(h) - 1)] & mask, np.uint64(0)).astype(np.int64)
+    before = np.where(where >= begins[of] + GRAM, h[np.maximum(where - GRAM, 0)] & mask, np.uint64(0)).astype(np.int64)
+    text, base = (np.array(x, np.int64)[of] for x in zip(*row))
+    return text, h[where].view(np.int64), mix(whole + count.astype(np.uint64)).view(np.int64), cut - begins[of] + base, count, where - cut, (after << 10) + before
+
+
+def _raw(texts: pa.Array) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -99,11 +132,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
-                rows = [contexts((t or "").encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-                take = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
-                anchor, ctx, start, count, at, sides = (np.concatenate(c) for c in zip(*rows))
-                place = (start.astype(np.int64) << 32) + (sides << 12) + (count << 6) + at
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("tk").take(take), pa.array(anchor), pa.array(ctx), pa.array(place.astype(np.int64))], names=["doc_id", "tk", "anchor", "ctx", "place"])
+                text, anchor, ctx, start, count, at, sides = contexts_of(_raw(part.column("text")))
+                take = pa.array(text)
+                place = (start << 32) + (sides << 12) + (count << 6) + at
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("tk").take(take), pa.array(anchor), pa.array(ctx), pa.array(place)], names=["doc_id", "tk", "anchor", "ctx", "place"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tk"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, tk long, anchor long, ctx long, place long")
@@ -123,16 +155,68 @@ def _shared(docs: DataFrame, scratch: Scratch) -> DataFrame:
     seen = _occurrences(part).select("doc_id", "tk", "anchor").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     hot = scratch.table(seen.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor", F.lit(True).alias("hot")), "hot")
     rows = _occurrences(docs).join(F.broadcast(hot), "anchor", "left")  # at most MOST_HOT rows
-    rows = rows.withColumn("spread", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0)).repartition("anchor", "spread")
-    rows = rows.withColumns({"after": F.expr(AFTER), "before": F.expr(BEFORE)}).sortWithinPartitions("anchor", "spread", "after")
-
-    def met(*by):
-        same = Window.partitionBy("anchor", "spread", *by)
-        return F.min("doc_id").over(same) < F.max("doc_id").over(same)
-
-    rows = rows.withColumn("met", met()).where("hot OR met")
-    rows = rows.withColumn("by_after", met("after")).withColumn("by_before", met("before")).where("hot OR by_after OR by_before")
-    return scratch.table(rows.select(*NAMES), "shared")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(0)
+    rows = rows.repartition("anchor", spread).sortWithinPartitions("anchor")  # by one number
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    rows = rows.select(*NAMES, F.col("doc_id").cast("long").alias("id"), F.col("hot").isNotNull().alias("hot"))
+    most = MOST_HELD
+    return scratch.table(rows.mapInArrow(lambda batches: _met(batches, most), f"doc_id {kind}, tk long, anchor long, ctx long, place long"), "shared")
+
+
+def _differ(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row, whether rows of its key have different ids. Equal keys stand together."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    differ = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    return np.repeat(differ, np.diff(first, append=len(keys)))
+
+
+def meetings(anchor: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Places of the rows that meet another id under their anchor and a side. Equal anchors stand together."""
+    left = np.flatnonzero(_differ(anchor, ids))
+    if not len(left):
+        return left
+    group = np.cumsum(np.concatenate([[0], anchor[left][1:] != anchor[left][:-1]])) << 10
+    met = np.zeros(len(left), bool)
+    for shift in (22, 12):
+        key = group + ((place[left] >> shift) & 1023)
+        order = np.argsort(key, kind="stable")
+        met[order] |= _differ(key[order], ids[left][order])
+    return left[met]
+
+
+def _met(batches, most: int):
+    """Drops contexts that meet no other document, a few anchors at a time. Hot anchors are kept unseen, and
+    so are those with over ``most`` rows, which are not held together."""
+    held, rows, unseen = [], 0, None  # rows of the last anchor, which may go on
+
+    def judged(found):
+        part = pa.Table.from_batches(found).combine_chunks()
+        anchor, ids, place = (part.column(c).to_numpy() for c in ("anchor", "id", "place"))
+        return part.take(pa.array(meetings(anchor, ids, place))).select(NAMES).to_batches()
+
+    for b in batches:
+        if not len(b):
+            continue
+        anchor, hot = b.column("anchor").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False)
+        loose = hot | (anchor == unseen) if unseen is not None else hot
+        if loose.any():
+            yield b.filter(pa.array(loose)).select(NAMES)
+            b = b.filter(pa.array(~loose))
+            if not len(b):
+                continue
+            anchor = b.column("anchor").to_numpy()
+        last = int(np.searchsorted(anchor, anchor[-1]))
+        if last or held and held[0].column("anchor")[0].as_py() != anchor[0]:
+            yield from judged([*held, b.slice(0, last)])
+            held, rows = [], 0
+        held.append(b.slice(last))
+        rows += len(held[-1])
+        if rows > most:
+            unseen = int(anchor[-1])
+            yield from (x.select(NAMES) for x in held)
+            held, rows = [], 0
+    if held:
+        yield from judged(held)
 
 
 def smallest_owner(pieces: list[bytes], owners: list[int]) -> list[list[int]]:
@@ -259,8 +343,8 @@ def _context_bytes(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), 64):
                 out = {}
-                for o, t, spans in zip(*(b.column(c).slice(i, 64).to_pylist() for c in ("owner", "text", "spans"))):
-                    raw = t.encode("utf-8", "surrogatepass")
+                part = b.slice(i, 64)
+                for o, raw, spans in zip(part.column("owner").to_pylist(), _raw(part.column("text")), part.column("spans").to_pylist()):
                     for x in spans:
                         out[x["anchor"], x["ctx"], o, x["at"], x["m"]] = raw[x["s"] : x["s"] + x["n"] + LENGTH - 1]
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))), pa.array(list(out.values()), pa.binary())], names=["anchor", "ctx", "owner", "at", "m", "bytes"])
@@ -312,6 +396,13 @@ def merged(runs) -> list[tuple[int, int]]:
     return [(a, e) for a, e in out]
 
 
+def _pairs(runs: pa.Array) -> list[list[tuple[int, int]]]:
+    """The runs (a, e) of each row; none where the list is null."""
+    pairs = list(zip(*(x.to_pylist() for x in runs.flatten().flatten())))
+    ends = np.cumsum(runs.value_lengths().fill_null(0).to_numpy())
+    return [pairs[a:e] for a, e in zip([0, *ends.tolist()], ends.tolist())]
+
+
 def dedup(docs: DataFrame, scratch: Scratch | None = None, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``with_bytes`` also the kept bytes."""
     runs = covered(docs, scratch or Scratch(docs.sparkSession)).select(F.col("doc_id").alias("rid"), F.col("tk").alias("rtk"), "runs")
@@ -325,9 +416,8 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, with_bytes: bool = Fa
             for i in range(0, len(b), 64):
                 part = b.slice(i, 64)
                 out = []
-                for t, r in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
-                    raw = (t or "").encode("utf-8", "surrogatepass")
-                    gone = merged((x["a"], x["e"]) for x in r or ())
+                for raw, r in zip(_raw(part.column("text")), _pairs(part.column("runs"))):
+                    gone = merged(r)
                     kept, at = [], 0
                     for a, e in gone:
                         kept.append(raw[at:a])

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -62,6 +63,42 @@ def test_contexts_cover_every_string_across_pieces(monkeypatch):
     assert sorted(i for s, n in zip(starts, counts) for i in range(s, s + n)) == list(range(951))
 
 
+def test_contexts_of_several_texts_are_those_of_each_and_share_calls(monkeypatch):
+    rng = random.Random(4)
+    raws = [bytes(rng.choices(b"ab c", k=rng.choice([0, 1, 49, 50, 51, 66, 99, 300]))) for _ in range(60)] + [b"a" * 400]
+    for piece, beside in ((1 << 20, 1 << 16), (100, 1 << 16), (100, 200)):
+        calls = []
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "BESIDE", beside)
+        each = [suffix_dedup.contexts(r) for r in raws]
+        monkeypatch.setattr(suffix_dedup, "_gram_hashes", lambda codes, f=suffix_dedup._gram_hashes: calls.append(len(codes)) or f(codes))
+        text, *rest = suffix_dedup.contexts_of(raws)
+        monkeypatch.undo()
+        assert text.tolist() == [i for i, e in enumerate(each) for _ in e[0]]
+        assert [c.tolist() for c in rest] == [np.concatenate(c).tolist() for c in zip(*each)]
+        assert len(calls) == 1 if beside == 1 << 16 else len(calls) > 5
+
+
+def test_contexts_that_meet_no_other_document_go_in_one_pass():
+    rng = random.Random(6)
+    rows = sorted(((rng.randrange(40), rng.randrange(3), rng.randrange(2), rng.randrange(2)) for _ in range(300)), key=lambda r: r[0])
+    seen = lambda key: {k for k in map(key, rows) if len({r[1] for r in rows if key(r) == k}) > 1}
+    by_after, by_before = seen(lambda r: (r[0], r[2])), seen(lambda r: (r[0], r[3]))
+    want = [r[0] == 7 or (r[0], r[2]) in by_after or (r[0], r[3]) in by_before for r in rows]  # 7 is hot
+    a, i, after, before = map(np.array, zip(*rows))
+    table = pa.table({"doc_id": i, "tk": np.arange(300), "anchor": a, "ctx": a, "place": (after << 22) + (before << 12), "id": i, "hot": a == 7})
+    for size in (1, 3, 50, 300):
+        out = [t for b in suffix_dedup._met(table.to_batches(size), 1000) for t in b.column("tk").to_pylist()]
+        assert sorted(out) == [k for k in range(300) if want[k]]
+        out = [t for b in suffix_dedup._met(table.to_batches(size), 4) for t in b.column("tk").to_pylist()]
+        assert len(out) == len(set(out)) and {k for k in range(300) if want[k]} <= set(out)
+
+
+def test_suffix_dedup_keeps_anchors_with_many_rows_unseen(spark, edge, edge_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_HELD", 2)
+    assert Counter(tuple(r) for r in suffix_dedup.dedup(edge).collect()) == plain_bytes(edge_rows)
+
+
 def test_suffix_dedup_of_hot_passages_and_alike_contexts(spark, monkeypatch):
     """Passages that most documents share, spliced at odd places, with their anchors known as hot."""
     for k, v in {"SAMPLE": 1, "HOT_SHARE": 0.0, "HOT_LEAST": 10, "MOST_CONTEXTS": 8, "PIECE": 700}.items():
