@@ -22,37 +22,45 @@ from .common import WORD_GAP, content_key, let
 MIN_DOCS, DOC_SHARE, KEEP_SHARE = 30, 0.001, 0.2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = WORD_GAP.replace("\\", "\\\\")
-WORDS = f"filter(split(t, '{GAP}'), x -> x <> '')"
+WORDS = f"array_remove(split(t, '{GAP}'), '')"
 BLANKS = "' \\t\\n\\u000b\\u000c\\r'"
 
-#: Words covered by three-word windows that occur twice or more: sort window hashes with
-#: their positions, keep those equal to a neighbour, and measure the union of the windows.
+#: Words covered by three-word windows that occur twice or more: where hashes of windows are not
+#: distinct, sort them with their positions, keep those equal to a neighbour, and measure the union
+#: of the windows.
 REPEATED = let(
-    "sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> struct(xxhash64(x, get(w, i + 1), get(w, i + 2)) AS h, i AS i)))",
-    "s",
-    let(
-        "sort_array(transform(filter(s, (e, j) -> e.h = get(s, j - 1).h OR e.h = get(s, j + 1).h), e -> e.i))",
-        "p",
-        "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0L, (a, b) -> a + b)",
-    ),
+    "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))",
+    "h",
+    "CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE "
+    + let(
+        "sort_array(transform(h, (x, i) -> struct(x AS h, i AS i)))",
+        "s",
+        let(
+            "sort_array(transform(filter(s, (e, j) -> e.h = get(s, j - 1).h OR e.h = get(s, j + 1).h), e -> e.i))",
+            "p",
+            "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1) - x, 3))), 0L, (a, b) -> a + b)",
+        ),
+    )
+    + " END",
 )
-DUPLICATE_LINES = let(f"filter(split(t, '\\n', -1), x -> translate(x, {BLANKS}, '') <> '')", "l", "size(l) - size(array_distinct(l))")
+DUPLICATE_LINES = let(f"filter(split(t, '\\n', -1), x -> ltrim({BLANKS}, x) <> '')", "l", "size(l) - size(array_distinct(l))")
 
 
 def base_measures(text: str = "text") -> dict[str, Column]:
     """The contract's counts, as columns over ``text``."""
     over = lambda sql: F.expr(let(f"coalesce({text}, '')", "t", sql))
-    words = over(let(WORDS, "w", f"struct(bigint(size(w)) AS n, bigint({REPEATED}) AS r)"))
+    words = over(let(WORDS, "w", f"struct(bigint(size(w)) AS n, bigint(length(array_join(w, ''))) AS c, bigint({REPEATED}) AS r)"))
     return {
         "_q_words": words,
-        "word_chars": over(f"bigint(length(translate(t, {BLANKS}, '')))"),
-        "n_symbols": over("bigint(length(t) - length(translate(t, '#*$%&|<>', '')))"),
+        "n_symbols": over("bigint(regexp_count(t, '[#*$%&|<>]'))"),
         "n_dup_lines": over(f"bigint({DUPLICATE_LINES})"),
     }
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(line, UPPER, LOWER), "[0-9]", "0"), WORD_GAP, " "))
+    ascii_only = F.octet_length(line) == F.length(line)  # translate takes each character by itself
+    lower = F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+    return F.trim(F.regexp_replace(F.regexp_replace(lower, "[0-9]", "0"), WORD_GAP, " "))
 
 
 def line_removals(docs: DataFrame, host: str, text: str, min_docs: int, doc_share: float) -> DataFrame:
@@ -63,7 +71,7 @@ def line_removals(docs: DataFrame, host: str, text: str, min_docs: int, doc_shar
         keyed.select("_q_host", "ck1", "ck2", F.posexplode(F.expr("split(t, '\\n', -1)")).alias("pos", "line"))
         .select("_q_host", "ck1", "ck2", "pos", normalised(F.col("line")).alias("line"))
         .where("line <> ''")
-        .select("_q_host", "ck1", "ck2", "pos", F.xxhash64("line").alias("lh"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"))
+        .select("_q_host", "ck1", "ck2", "pos", F.xxhash64("line").alias("lh"), (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).alias("words"))
     )
     each = lines.groupBy("_q_host", "lh", "ck1", "ck2").agg(F.lit(1).alias("one"))
     limits = keyed.groupBy("_q_host", "ck1", "ck2").agg(F.lit(1).alias("one")).groupBy("_q_host").agg(F.greatest(F.lit(min_docs), F.ceil(F.count("*") * doc_share)).alias("most"))
@@ -79,6 +87,7 @@ def _judged(docs: DataFrame, host: str, text: str, min_docs: int, doc_share: flo
     out = left.join(removals, KEYS, "left").withColumns(
         {
             "n_words": F.col("_q_words.n"),
+            "word_chars": F.col("_q_words.c"),
             "n_repeat_words": F.col("_q_words.r"),
             "n_removed_lines": F.expr("bigint(coalesce(size(_q_removed), 0))"),
             "n_removed_words": F.expr("aggregate(coalesce(_q_removed, array()), 0L, (a, x) -> a + x.words)"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, mixing, pii, quality_classifier, quality_rules
 
@@ -65,6 +67,23 @@ def test_rules_equal_plain_counts(edge, edge_rows):
     assert got == want
 
 
+def test_rules_sort_windows_only_where_some_repeat_and_look_up_no_single_characters(spark):
+    measures = str(quality_rules.base_measures())
+    assert "translate" not in measures and "array_distinct" in str(quality_rules.base_measures()["_q_words"])
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcé") for _ in range(n)) for n in range(12)] + ["\x0b\x0c\r\n\t x\x0by z\n \x0c\n\x0b#<é>&&|$%*\r", "a b c a b c", "a b c d a b c\u00a0", "p q r s t u v"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.report(docs).collect()}
+    assert got == {i: plain_rules(t) for i, t in enumerate(texts)}
+
+
+def test_lines_are_folded_in_ascii_only(spark):
+    lines = ["ABC Z 19", "abc\t z 05 ", "ÀBC É 1", "Àbc  É 7", "àbc É 1", "İSTANBUL", "istanbul", "ẞ K", "ẞ k", "\u212a k", "k K"]
+    fold = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", "".join(c.lower() if c.isascii() else c for c in x))).strip(" ")
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", quality_rules.normalised(F.col("line")).alias("n")).collect()
+    assert {r.line: r.n for r in got} == {x: fold(x) for x in lines}
+
+
 def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     line = "accept all cookies to read on"
     body = " ".join(f"w{i}" for i in range(60))
