@@ -58,8 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that kept tokens have the raked proportions."""
-    _scratch(spark)
-    return mixing.sample(docs)
+    return mixing.sample(docs, scratch=_scratch(spark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

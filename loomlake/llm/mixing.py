@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 DIMS = ("_m_source", "_m_lang", "_m_topic")
 ALPHA = {"_m_source": 0.9, "_m_lang": 0.9, "_m_topic": 1.0}
 SWEEPS = 6
@@ -48,10 +50,13 @@ def keyed(docs: DataFrame, topic: Column | None = None) -> DataFrame:
     )
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, scratch: Scratch | None = None) -> DataFrame:
     """Cells (the DIMS and ``t``) with their raked weight ``w`` and probability ``p``. ``targets``:
     per dimension a table (the dimension, share); others follow ALPHA. The cells stay distributed;
-    one row of totals is all that is broadcast."""
+    one row of totals is all that is broadcast. With ``scratch`` the cells are written, after each
+    margin, sweep and at the end: of one plan of it all the driver gets a new description at each stage."""
+    stored = scratch.table if scratch else lambda df, name: df
+    cells = stored(cells, "cells")
     total = cells.agg(F.sum("t").alias("_m_all"))
     w = cells.where("t > 0").withColumn("w", F.col("t")).crossJoin(F.broadcast(total))  # one row
     for d in DIMS:
@@ -62,19 +67,20 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
             goal = own.select(d, F.pow("_m_t", F.lit(ALPHA[d])).alias("_m_g"))
         norm = goal.agg(F.sum("_m_g").alias("_m_n"))
         goal = goal.crossJoin(F.broadcast(norm)).select(d, (F.col("_m_g") / F.col("_m_n")).alias(f"{d}_goal"))  # one row
-        w = w.join(goal, d)
+        w = stored(w.join(goal, d), "weights")
     for _ in range(sweeps):
         for d in DIMS:
             w = w.withColumn("w", F.col("w") * F.col(f"{d}_goal") * F.col("_m_all") / F.sum("w").over(Window.partitionBy(d)))
+        w = stored(w, "weights")
     top = w.agg(F.max(F.col("w") / F.col("t")).alias("_m_top"))
-    return w.crossJoin(F.broadcast(top)).select(*DIMS, "t", "w", (F.col("w") / F.col("t") / F.col("_m_top")).alias("p"))  # one row
+    return stored(w.crossJoin(F.broadcast(top)).select(*DIMS, "t", "w", (F.col("w") / F.col("t") / F.col("_m_top")).alias("p")), "shares")  # one row
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, sweeps: int = SWEEPS, scratch: Scratch | None = None) -> DataFrame:
     """Every row of ``docs`` with topic, tokens, probability and kept added under _m names."""
     rows = keyed(docs, topic)
     cells = keyed(docs.select("doc_id", "source", "lang", "text") if topic is None else docs, topic).groupBy(*DIMS).agg(F.sum("_m_tokens").alias("t"))
-    p = raked(cells, targets, sweeps).select(*DIMS, F.col("p").alias("_m_p"))
+    p = raked(cells, targets, sweeps, scratch).select(*DIMS, F.col("p").alias("_m_p"))
     out = rows.join(p, list(DIMS), "left").withColumn("_m_p", F.when(F.col("_m_tokens") == 0, 1.0).otherwise(F.coalesce("_m_p", F.lit(1.0))))
     return out.withColumn("_m_kept", draw(F.col("doc_id")) < F.col("_m_p"))
 

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from loomlake.llm import bpe, line_dedup, mixing, queries
+from loomlake.llm.common import Scratch
 
 from .test_duplicate_operators import plain_components, plain_lines
 from .test_text_operators import plain_rules
@@ -91,6 +92,15 @@ def test_texts_under_one_id_are_decided_apart(spark):
     assert got == Counter([(1, a), (2, b), (3, c), (3, d), (6, None), (6, ""), (None, a), (None, a), *one_of_five])
 
 
+def test_mixing_makes_small_plans_only(spark, rows, monkeypatch):
+    """The driver holds a description of every plan, made anew at each of its stages."""
+    docs, written, table = spark.createDataFrame(rows, SCHEMA), [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: written.append(df) or table(self, df, name))
+    out = corpus_pipeline.mix(spark, docs, "unused")
+    assert max(df._jdf.queryExecution().executedPlan().toString().count("Exchange ") for df in [*written, out]) <= 12
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in mixing.sample(docs).collect())
+
+
 def test_run_over_the_smallest_table(spark, small):
     out = corpus_pipeline.run(spark, small)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
