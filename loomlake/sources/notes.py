@@ -109,6 +109,19 @@ def store_index(chunks: DataFrame, path: str) -> lexical.Index:
     return read_index(spark, path)
 
 
+def store_asked(chunks: DataFrame, questions: DataFrame, path: str) -> lexical.Index:
+    """Writes what ``questions`` ask of all ``chunks``, in one pass over their text: the counts of each chunk,
+    document frequencies, one row of statistics. The full index sorts every posting, which pays only
+    where the questions are not known yet."""
+    spark = chunks.sparkSession
+    rows = lexical.asked_rows(chunks, questions)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    made = lexical.asked_index(spark.read.schema(rows.schema).parquet(f"{path}/rows"))
+    made.terms.coalesce(1).write.mode("overwrite").parquet(f"{path}/terms")
+    made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return lexical.Index(made.postings, *(spark.read.parquet(f"{path}/{name}") for name in ("terms", "stats")))
+
+
 def read_index(spark: SparkSession, path: str) -> lexical.Index:
     return lexical.Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")))
 
