@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from loomlake.functions import markdown
 from loomlake.functions import text as T
 from loomlake.operators import lexical
 from loomlake.plans import catalog
@@ -55,3 +56,13 @@ def test_texts_are_read_once_and_no_more_by_the_plan(spark, small, name):
 
 def test_postings_are_of_asked_terms(spark, small):
     assert catalog._words(spark, small).postings.select("term").distinct().count() <= 10
+
+
+def test_notes_reach_python_by_the_hundred(spark):
+    """A batch of long notes does not grow with the table: no Arrow batches, and the chunks are those of the function."""
+    texts = {1: "# A\n" + "x y " * 600, 2: "", 3: None, 4: "---\nk: v\n---\nplain"}
+    notes_ = spark.createDataFrame([(k, f"n/{k}.md", v) for k, v in texts.items()] + [(k, "p.md", "b " * 500) for k in range(5, 305)], "doc_id long, relative_path string, content string")
+    out = markdown.chunk_notes(notes_)
+    assert "BatchEvalPython" in plan(out) and "MapInPandas" not in plan(out) and "Arrow" not in plan(out)
+    got = sorted(out.select("doc_id", "idx", "heading_path", "text").collect())
+    assert got == sorted((r.doc_id, i, h, t) for r in notes_.collect() for i, (h, t) in enumerate(markdown.chunks(r.content or "", r.relative_path)))
