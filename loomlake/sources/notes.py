@@ -130,19 +130,19 @@ def folder_text(folders: DataFrame) -> Column:
     return F.concat_ws("\n", F.col("folder"), F.array_join("headings", "\n"))
 
 
-def from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def from_tables(spark: SparkSession, sf_dir: str, headings: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) of the note model over the ``documents`` table. Dates are invented
-    from the id, as the table has none."""
+    from the id, as the table has none. ``headings``: the folder is the chunks' heading path, else there is none."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
     docs = d.select(
         "doc_id",
         F.col("lang").alias("tree"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"),
-        F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("relative_path"),
+        path.alias("relative_path"),
         F.expr("date_add(date'2024-01-01', int(doc_id % 365))").alias("document_date"),
         F.col("text").alias("content"),
     )
-    chunks = markdown.window_chunks(d).select((F.col("doc_id") * CHUNK_IDS + F.col("idx")).alias("chunk_id"), "doc_id", F.lit("").alias("heading_path"), "text")
-    return docs, chunks
-
-
+    heading = F.regexp_extract(path, "^(.*)/", 1) if headings else F.lit("")
+    windows = markdown.window_chunks(d.withColumn("heading_path", heading), "text", "heading_path")
+    return docs, windows.select((F.col("doc_id") * CHUNK_IDS + F.col("idx")).alias("chunk_id"), "doc_id", "heading_path", "text")

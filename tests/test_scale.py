@@ -11,7 +11,7 @@ from loomlake.operators import lexical
 from loomlake.plans import catalog
 from loomlake.sources import notes
 
-WORDS = ["collapse_by_doc", "bm25_topk", "grep_scoped"]
+WORDS = ["collapse_by_doc", "bm25_headings", "bm25_topk", "grep_scoped"]
 
 
 def plan(df):
@@ -73,3 +73,12 @@ def test_fused_rows_are_made_once(spark, small, name):
     """Fusion is asked for two or three times by the rules after it; vectors and the index are not read again for each."""
     read = catalog.QUERIES[name](spark, small).inputFiles()
     assert any("/rows-" in f for f in read) and not any("embeddings" in f or "/words-" in f for f in read)
+
+
+def test_headings_come_with_their_windows(spark, small):
+    """A chunk's heading path is of its own row; no join moves the texts."""
+    docs, chunks = notes.from_tables(spark, small, headings=True)
+    assert "Exchange" not in plan(chunks) and "Join" not in plan(chunks)
+    joined = notes.from_tables(spark, small)[1].drop("heading_path").join(docs.select("doc_id", F.regexp_extract("relative_path", "^(.*)/", 1).alias("heading_path")), "doc_id")
+    cols = ["chunk_id", "doc_id", "heading_path", "text"]
+    assert sorted(chunks.select(cols).collect()) == sorted(joined.select(cols).collect())
