@@ -11,7 +11,7 @@ from loomlake.operators import lexical
 from loomlake.plans import catalog
 from loomlake.sources import notes
 
-WORDS = ["collapse_by_doc", "bm25_headings", "rrf_freshness", "bm25_topk", "grep_scoped"]
+WORDS = ["collapse_by_doc", "bm25_headings", "rrf_freshness", "bm25_multi_query", "bm25_topk", "grep_scoped"]
 
 
 def plan(df):
